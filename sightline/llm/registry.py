@@ -1,10 +1,17 @@
 """The queries of this package, by name, and their SQL."""
 
+from sightline.llm.chat import OP9_SQL, op9_chat_formatting
+from sightline.llm.pii import op5_pii_weak_supervision
 from sightline.llm.quality import OP6_SQL, op6_quality_rules
+from sightline.llm.simhash import op8_simhash_components
 
 QUERIES = {
+    "op5_pii_weak_supervision": op5_pii_weak_supervision,
     "op6_quality_rules": op6_quality_rules,
+    "op8_simhash_components": op8_simhash_components,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 ORACLES = {
     "op6_quality_rules": OP6_SQL,
+    "op9_chat_formatting": OP9_SQL,
 }

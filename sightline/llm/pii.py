@@ -112,6 +112,18 @@ def _guard(kind: str, t: Column) -> Column:
     return F.col("_p_digits")
 
 
+def _ends(matches: Column, gaps: Column) -> Column:
+    return _running(F.transform(matches, lambda x, i: F.length(x) + F.length(F.get(gaps, i))))
+
+
+def _checked(kind: str, matches: Column, ends: Column) -> Column:
+    made = F.transform(
+        matches,
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(x)).alias("s"), F.get(ends, i).alias("e"), x.alias("x")),
+    )
+    return F.filter(made, lambda y: _valid(kind, y["x"]))
+
+
 def _spans(df: DataFrame) -> DataFrame:
     """df with _p_text and, by kind, _p_<kind>: array of (kind, s, e, x), base kinds checked."""
     t = F.col("_p_text")
@@ -125,19 +137,9 @@ def _spans(df: DataFrame) -> DataFrame:
     df = df.withColumns(some)
     ends = {}
     for k in KINDS:
-        m, g = F.col(f"_m_{k}"), F.col(f"_g_{k}")
-        both = F.transform(m, lambda x, i, g=g: F.length(x) + F.length(F.get(g, i)))
-        ends[f"_e_{k}"] = F.when(F.size(m) > 0, _running(both)).otherwise(F.array().cast("array<int>"))
+        ends[f"_e_{k}"] = F.when(F.size(f"_m_{k}") > 0, _ends(F.col(f"_m_{k}"), F.col(f"_g_{k}"))).otherwise(F.array().cast("array<int>"))
     df = df.withColumns(ends)
-    spans = {}
-    for k in KINDS:
-        made = F.transform(
-            F.col(f"_m_{k}"),
-            lambda x, i, k=k: F.struct(
-                F.lit(k).alias("kind"), (F.get(F.col(f"_e_{k}"), i) - F.length(x)).alias("s"), F.get(F.col(f"_e_{k}"), i).alias("e"), x.alias("x")
-            ),
-        )
-        spans[f"_p_{k}"] = F.filter(made, lambda y, k=k: _valid(k, y["x"]))
+    spans = {f"_p_{k}": _checked(k, F.col(f"_m_{k}"), F.col(f"_e_{k}")) for k in KINDS}
     return df.withColumns(spans).drop(*out, *some, *ends, "_p_digits")
 
 

@@ -19,3 +19,8 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return "/root/testdata/sf0.001"

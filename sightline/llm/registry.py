@@ -4,8 +4,10 @@ from sightline.llm.chat import OP9_SQL, op9_chat_formatting
 from sightline.llm.pii import op5_pii_weak_supervision
 from sightline.llm.quality import OP6_SQL, op6_quality_rules
 from sightline.llm.simhash import op8_simhash_components
+from sightline.llm.suffix_dedup import op3_suffix_array_dedup
 
 QUERIES = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_pii_weak_supervision": op5_pii_weak_supervision,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash_components": op8_simhash_components,

@@ -1,11 +1,13 @@
 """The queries of this package, by name, and their SQL."""
 
 from sightline.llm.chat import OP9_SQL, op9_chat_formatting
+from sightline.llm.decontaminate import op7_decontamination
 from sightline.llm.mixing import op2_mix_sources
 from sightline.llm.pii import op5_pii_weak_supervision
 from sightline.llm.quality import OP6_SQL, op6_quality_rules
 from sightline.llm.simhash import op8_simhash_components
 from sightline.llm.suffix_dedup import op3_suffix_array_dedup
+from sightline.llm.tokens import op10_training_order
 from sightline.llm.warc import OP1_SQL, op1_warc_archive
 
 QUERIES = {
@@ -14,8 +16,10 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_pii_weak_supervision": op5_pii_weak_supervision,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash_components": op8_simhash_components,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_training_order": op10_training_order,
 }
 ORACLES = {
     "op1_warc_archive": OP1_SQL,

@@ -1,14 +1,65 @@
-"""The corpus pipeline: five of the operators, one after the other, over all documents."""
+"""The corpus pipeline: five of the operators, one after the other, over all documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with docs' columns, the last one the stored token records. Rows that a
+stage rejects go; the quality stage also hands on the text without the lines that failed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sightline.llm.decontaminate import decontaminate
+from sightline.llm.mixing import mixed_rows
+from sightline.llm.quality import quality
+from sightline.llm.simhash import dedup
+from sightline.llm.tokens import token_table
+from sightline.sources.shared import written
+from sightline.sources.tables import table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules keep, without their failing lines."""
+    kept = quality(docs).where("kept").withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    return dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_rows(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token records written in training order."""
+    return token_table(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixing),
+    ("token output", token_output),
+]
 
 #: SQL cannot express fingerprint components, local alignment or tokenizers.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from sightline.llm.chat import OP9_SQL, op9_chat_formatting
 from sightline.llm.decontaminate import op7_decontamination
+from sightline.llm.html_text import op4_html_extraction
 from sightline.llm.mixing import op2_mix_sources
 from sightline.llm.pii import op5_pii_weak_supervision
 from sightline.llm.quality import OP6_SQL, op6_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_warc_archive": op1_warc_archive,
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_pii_weak_supervision": op5_pii_weak_supervision,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,

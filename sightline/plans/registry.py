@@ -1,4 +1,6 @@
 """The library's queries by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sightline.plans import ranks, visibility
+
+QUERIES: dict = {**visibility.QUERIES, **ranks.QUERIES}
+ORACLES: dict = {**visibility.ORACLES, **ranks.ORACLES}

@@ -20,5 +20,5 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once as Parquet in the shared folder and read again: no lineage, and safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """The library's queries by name, and their SQL."""
 
-from sightline.plans import ranks, visibility
+from sightline.plans import answers, entities, ranks, streams, visibility
 
-QUERIES: dict = {**visibility.QUERIES, **ranks.QUERIES}
-ORACLES: dict = {**visibility.ORACLES, **ranks.ORACLES}
+_PLANS = (visibility, ranks, answers, entities, streams)
+QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in _PLANS for k, v in p.ORACLES.items()}

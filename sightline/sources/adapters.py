@@ -24,7 +24,7 @@ SNAP = {
     "structure_type": "CASE CAST(round(l_discount * 100) AS BIGINT) % 5 WHEN 0 THEN 'numbered_list' WHEN 1 THEN 'bulleted_list' WHEN 2 THEN 'table' WHEN 3 THEN 'mixed' ELSE 'narrative' END",
     "is_hallucination": "CASE WHEN CAST(l_quantity AS BIGINT) % 4 = 0 THEN NULL ELSE CAST(l_quantity AS BIGINT) % 4 = 1 END",
     "tokens": "CAST(l_quantity AS BIGINT) * 10 - 10",
-    "cost_usd": "CASE WHEN CAST(l_quantity AS BIGINT) % 9 = 0 THEN 0.0 ELSE l_extendedprice / 1000000.0 END",
+    "cost_usd": "CASE WHEN CAST(l_quantity AS BIGINT) % 9 = 0 THEN 0.0 ELSE CAST(round(l_extendedprice) AS DOUBLE) / 1000000 END",
     "no_map": "l_quantity < 5",
     "c1": "l_suppkey % 3 = 0",
     "c2": "l_partkey % 4 = 0",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Structured-data types that a site should have.
@@ -69,17 +69,15 @@ def bot_access(robots: DataFrame, bots: list[str]) -> DataFrame:
     """(site, bot, allowed) from (site, robots): a bot's own block counts before the wildcard's; the last rule for / decides; null if unmentioned."""
     lines = robots.select("site", F.posexplode(F.split("robots", r"\r?\n")).alias("at", "raw"))
     rule = lines.withColumn("raw", F.trim(F.regexp_replace("raw", "#.*", ""))).withColumns({"key": F.lower(F.trim(F.split("raw", ":", 2)[0])), "value": F.trim(F.get(F.split("raw", ":", 2), F.lit(1)))})
-    from pyspark.sql import Window
-
     w = Window.partitionBy("site").orderBy("at")
     agent = F.col("key") == "user-agent"
     r = rule.where("key in ('user-agent', 'allow', 'disallow')").withColumn("starts", agent & ~F.coalesce(F.lag(agent).over(w), F.lit(False)))
     r = r.withColumn("block", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     agents = r.where(agent).select("site", "block", F.lower("value").alias("agent"))
-    rules = r.where(~agent & (F.col("value").isin("/", "") )).select("site", "block", "at", F.when(F.col("key") == "allow", F.col("value") == "/").otherwise(F.col("value") == "").alias("allow"))
+    rules = r.where(~agent & (F.col("value").isin("/", ""))).select("site", "block", "at", F.when(F.col("key") == "allow", F.col("value") == "/").otherwise(F.col("value") == "").alias("allow"))
     verdict = agents.join(rules, ["site", "block"], "left").groupBy("site", "agent").agg(F.max_by("allow", "at").alias("allow"))
     each = robots.select("site", F.explode(F.array(*map(F.lit, bots))).alias("bot"))
-    own = verdict.withColumnsRenamed({"allow": "own_allow"}).withColumn("has_own", F.lit(True))
+    own = verdict.withColumnsRenamed({"site": "own_site", "allow": "own_allow"}).withColumn("has_own", F.lit(True))
     star = verdict.where("agent = '*'").select("site", F.col("allow").alias("star_allow"))
-    out = each.join(own, (each["site"] == own["site"]) & (F.lower("bot") == F.col("agent")), "left").drop(own["site"]).join(star, "site", "left")
+    out = each.join(own, (F.col("site") == F.col("own_site")) & (F.lower("bot") == F.col("agent")), "left").join(star, "site", "left")
     return out.select("site", "bot", F.when(F.col("has_own"), F.col("own_allow")).otherwise(F.col("star_allow")).alias("allowed"))

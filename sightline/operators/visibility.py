@@ -29,7 +29,7 @@ def aivs() -> Column:
     """min(100 * sum(rvs * w) / sum(w), 100), two digits; 0 without rows."""
     w = weight(F.col("query_type"))
     ratio = F.try_divide(F.sum(rvs(F.col("mention_type")) * w).cast("double"), F.sum(w).cast("double"))
-    return F.coalesce(F.round(F.least(ratio, F.lit(100.0)), 2), F.lit(0.0))
+    return F.when(ratio.isNull(), 0.0).otherwise(F.round(F.least(ratio, F.lit(100.0)), 2))
 
 
 def share(part: Column, whole: Column, digits: int = 4, scale: float = 1.0) -> Column:

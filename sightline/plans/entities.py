@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightline.functions import names as N
 from sightline.operators import entities as E
 from sightline.operators.graph import connected_components
-from sightline.sources.adapters import facts
+from sightline.sources.adapters import COMPETITORS, cte, facts
 from sightline.sources.tables import table
 
 # expressions that both engines read; four spellings of one name
@@ -72,6 +72,34 @@ def vector_pairs(spark, sf_dir):
     return d.where("distance <= 0.6").select("q", "vec_id", "distance")
 
 
+def vector_neighbours(spark, sf_dir):
+    from sightline.operators.vectors import neighbours
+
+    d = neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.62)
+    return d.select("a", "b", F.round("distance", 5).alias("distance"))
+
+
+def vector_clusters(spark, sf_dir):
+    from sightline.operators.vectors import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.62)
+
+
+def consolidated_flags(spark, sf_dir):
+    """Answer flags rebuilt from the mentions themselves: competitors by name, sub-brands with their parents."""
+    from sightline.operators import visibility as V
+    from sightline.operators.consolidate import rebuild_flags
+    from sightline.sources.adapters import snapshots
+
+    s = snapshots(spark, sf_dir)
+    one = s.groupBy("answer_id").agg(F.bool_or("brand_mentioned").alias("b"))
+    found = V.competitor_mentions(s, rolled_up=False).select("answer_id", F.col("competitor").alias("key"))
+    mine = one.where("b").select("answer_id", F.lit("target").alias("key"))
+    known = spark.createDataFrame([(c,) for c in (*COMPETITORS, "target")], "key string")
+    out = rebuild_flags(one.select("answer_id"), found.unionByName(mine), known, "target")
+    return out.select("answer_id", "brand_mentioned", F.array_join(F.array_sort(F.map_keys(F.map_filter("competitor_mentions", lambda k, v: v))), ",").alias("competitors"))
+
+
 def vector_means(spark, sf_dir):
     """Mean vector of each label, in long form."""
     v = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
@@ -124,6 +152,9 @@ QUERIES = {
     "name_counts": name_counts,
     "vector_pairs": vector_pairs,
     "vector_means": vector_means,
+    "vector_neighbours": vector_neighbours,
+    "vector_clusters": vector_clusters,
+    "consolidated_flags": consolidated_flags,
     "page_answer_first": page_answer_first,
     "page_flags": page_flags,
     "site_rollup": site_rollup,
@@ -164,4 +195,8 @@ ORACLES = {
     "prompt_matrix": """WITH c AS (SELECT DISTINCT p_type AS category FROM part WHERE p_partkey % 7 > 1 AND p_type <> ''), g AS (SELECT category, persona, intent, template, competitor FROM c, unnest(['buyer', 'expert', 'novice']) AS p(persona),
  (VALUES ('discovery', 'Which {category} is best for a {persona}?', ''), ('comparison', 'Compare {category} with {competitor} for a {persona}', 'Acme'), ('comparison', 'Compare {category} with {competitor} for a {persona}', 'Globex'), ('price', 'How much does {category} cost?', '')) AS t(intent, template, competitor))
 SELECT md5(concat_ws('|', persona, intent, category, competitor))[1:12] AS prompt_id, persona, intent, category, replace(replace(replace(template, '{category}', category), '{persona}', persona), '{competitor}', competitor) AS prompt FROM g""",
+    "vector_neighbours": "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), d AS (SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_dot_product(x.e, y.e) / (x.l * y.l) AS d FROM n x JOIN n y ON x.vec_id < y.vec_id) SELECT a, b, round(d, 5) AS distance FROM d WHERE d <= 0.62",
+    "consolidated_flags": cte("snap") + f""", k AS (SELECT answer_id, brand_mentioned, unnest(list_distinct(list_filter([{", ".join(f"CASE WHEN NOT no_map AND c{i} THEN '{c}' END" for i, c in enumerate(COMPETITORS, 1))},
+ CASE WHEN NOT no_map AND c4 THEN 'Acme' END, CASE WHEN NOT no_map AND c5 THEN 'Globex' END, ''], lambda x: x IS NOT NULL))) AS key FROM snap)
+SELECT answer_id, bool_or(brand_mentioned) AS brand_mentioned, coalesce(array_to_string(list_sort(list(DISTINCT key) FILTER (key <> '')), ','), '') AS competitors FROM k GROUP BY 1""",
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.entities import leaders
+from sightline.sources.shared import written
+
 PERSONAS = ("buyer", "expert", "novice")
 TEMPLATES = (("discovery", "Which {category} is best for a {persona}?"), ("comparison", "Compare {category} with {competitor} for a {persona}"), ("price", "How much does {category} cost?"))
 COMPETITORS = ("Acme", "Globex")
@@ -38,3 +41,52 @@ def tag_links(queries: DataFrame) -> DataFrame:
     kinds = F.array(F.struct(F.lit("class").alias("type"), F.col("query_class").alias("tag")), F.struct(F.lit("subtype").alias("type"), F.col("subtype").alias("tag")))
     links = queries.select("query_id", F.explode(kinds).alias("k")).select("query_id", "k.type", "k.tag").where("tag is not null").distinct()
     return links.groupBy("type", "tag").agg(F.count("*").alias("links"))
+
+
+#: Words that a prompt may swap, openings that make it conversational, and what each assistant is told; fixed, small dimensions of this library.
+PIVOTS = (("best", "most reliable"), ("best", "cheapest"), ("cost", "take to set up"))
+OPENINGS = ("Hi, ", "Quick question: ", "I am new to this. ")
+ASSISTANTS = (("chat", "You are a helpful assistant."), ("search", "Answer with sources."), ("brief", "Answer in one sentence."))
+
+
+def pivots(prompts: DataFrame) -> DataFrame:
+    """One row per swap whose word a prompt holds: the first occurrence as a whole word is replaced."""
+    swaps = F.array(*[F.struct(F.lit(a).alias("word"), F.lit(b).alias("swap")) for a, b in PIVOTS])
+    bounded = lambda w: F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))
+    d = prompts.select("prompt_id", "prompt", F.explode(F.filter(swaps, lambda s: F.rlike(F.col("prompt"), bounded(s["word"])))).alias("s"))
+    first = F.regexp_replace("prompt", F.concat(F.lit(r"(?is)^(.*?)\b"), F.col("s.word"), F.lit(r"\b")), F.concat(F.lit("$1"), F.col("s.swap")))
+    return d.select("prompt_id", F.col("s.swap").alias("swap"), first.alias("prompt"))
+
+
+def conversational(prompts: DataFrame) -> DataFrame:
+    """Each prompt behind each opening, its first letter in lower case."""
+    text = F.concat(F.lower(F.left("prompt", F.lit(1))), F.substr("prompt", F.lit(2)))
+    return prompts.withColumn("opening", F.explode(F.array(*map(F.lit, OPENINGS)))).select("prompt_id", F.concat("opening", text).alias("prompt"))
+
+
+def adapted(prompts: DataFrame) -> DataFrame:
+    """One request per prompt and assistant, with its system text and an id that names both."""
+    kinds = F.array(*[F.struct(F.lit(a).alias("assistant"), F.lit(t).alias("system")) for a, t in ASSISTANTS])
+    d = prompts.withColumn("k", F.explode(kinds))
+    return d.select(F.concat_ws(":", "prompt_id", "k.assistant").alias("request_id"), "k.assistant", "k.system", "prompt")
+
+
+def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.75) -> DataFrame:
+    """(id, leader): greedy leaders in id order among texts whose word sets have a Jaccard similarity of at least so much.
+
+    Candidates share one of the rarest words of each side (prefix filter, which loses no pair); texts without words stand alone.
+    """
+    words = F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"(?U)[^\w]+"), ""))
+    t = written(texts.select(F.col(id_col).cast("string").alias("name"), F.col(id_col).alias("rank"), words.alias("words")), "words")
+    each = t.select("name", F.size("words").alias("n"), F.explode("words").alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("often"))
+    w = Window.partitionBy("name").orderBy("often", "word")
+    keep = F.col("n") - F.ceil(F.col("n") * similarity) + 1
+    prefix = each.join(often, "word").withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep).select("word", "name", "n")
+    other = prefix.select("word", F.col("name").alias("b"), F.col("n").alias("nb"))
+    near = F.least("n", "nb") >= F.greatest("n", "nb") * similarity
+    cand = prefix.join(other, "word").where((F.col("name") < F.col("b")) & near).select(F.col("name").alias("a"), "b").distinct()
+    side = lambda c: t.select(F.col("name").alias(c), F.col("words").alias("w" + c))
+    jaccard = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    edges = cand.join(side("a"), "a").join(side("b"), "b").where(jaccard >= similarity).select("a", "b")
+    return leaders(t.select("name", "rank"), edges).select(F.col("name").alias("id"), "leader")

@@ -130,6 +130,37 @@ def prompt_matrix(spark, sf_dir):
     return matrix(spark, facts(spark, sf_dir, "q")).select("prompt_id", "persona", "intent", "category", "prompt")
 
 
+def _prompts(spark, sf_dir):
+    from sightline.operators.prompts import matrix
+
+    return matrix(spark, facts(spark, sf_dir, "q"))
+
+
+def prompt_pivots(spark, sf_dir):
+    from sightline.operators.prompts import pivots
+
+    return pivots(_prompts(spark, sf_dir))
+
+
+def prompt_openings(spark, sf_dir):
+    from sightline.operators.prompts import conversational
+
+    return conversational(_prompts(spark, sf_dir))
+
+
+def prompt_requests(spark, sf_dir):
+    from sightline.operators.prompts import adapted
+
+    return adapted(_prompts(spark, sf_dir))
+
+
+def near_dup(spark, sf_dir):
+    """Query texts whose word sets are alike, grouped under the earliest."""
+    from sightline.operators.prompts import near_duplicates
+
+    return near_duplicates(facts(spark, sf_dir, "q"), "query_id", "query_text", 0.6)
+
+
 def resilience_expand(spark, sf_dir):
     from sightline.operators.prompts import expand_runs
 
@@ -159,6 +190,10 @@ QUERIES = {
     "page_flags": page_flags,
     "site_rollup": site_rollup,
     "prompt_matrix": prompt_matrix,
+    "prompt_pivots": prompt_pivots,
+    "prompt_openings": prompt_openings,
+    "prompt_requests": prompt_requests,
+    "near_dup": near_dup,
     "resilience_expand": resilience_expand,
     "tag_links": tag_links,
 }
@@ -200,3 +235,7 @@ SELECT md5(concat_ws('|', persona, intent, category, competitor))[1:12] AS promp
  CASE WHEN NOT no_map AND c4 THEN 'Acme' END, CASE WHEN NOT no_map AND c5 THEN 'Globex' END, ''], lambda x: x IS NOT NULL))) AS key FROM snap)
 SELECT answer_id, bool_or(brand_mentioned) AS brand_mentioned, coalesce(array_to_string(list_sort(list(DISTINCT key) FILTER (key <> '')), ','), '') AS competitors FROM k GROUP BY 1""",
 }
+_PROMPTS = "WITH p AS (" + ORACLES["prompt_matrix"] + ") "
+ORACLES["prompt_pivots"] = _PROMPTS + r"""SELECT prompt_id, swap, regexp_replace(prompt, '(?i)\b' || word || '\b', swap) AS prompt FROM p, (VALUES ('best', 'most reliable'), ('best', 'cheapest'), ('cost', 'take to set up')) AS s(word, swap) WHERE regexp_matches(prompt, '(?i)\b' || word || '\b')"""
+ORACLES["prompt_openings"] = _PROMPTS + "SELECT prompt_id, opening || lower(left(prompt, 1)) || substr(prompt, 2) AS prompt FROM p, (VALUES ('Hi, '), ('Quick question: '), ('I am new to this. ')) AS o(opening)"
+ORACLES["prompt_requests"] = _PROMPTS + "SELECT prompt_id || ':' || assistant AS request_id, assistant, system, prompt FROM p, (VALUES ('chat', 'You are a helpful assistant.'), ('search', 'Answer with sources.'), ('brief', 'Answer in one sentence.')) AS a(assistant, system)"

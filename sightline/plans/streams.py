@@ -4,12 +4,21 @@ from pyspark.sql import functions as F
 
 from sightline.streaming import streams as S
 
+
+def failure_alerts(spark, sf_dir):
+    d = S.event_stream(spark, sf_dir).selectExpr("CONCAT('v', user_id % 6) AS vendor", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS call_id", "event_type <> 'error' AS ok")
+    return S.run_appended(S.failure_alerts(d, 2)).groupBy("vendor").agg(F.count("*").alias("alerts"))
+
+
 QUERIES = {
+    "stream_failure_alerts": failure_alerts,
     "stream_daily_rate": lambda spark, sf_dir: S.run_available(S.daily_rates(S.event_stream(spark, sf_dir))),
     "stream_counters": lambda spark, sf_dir: S.run_available(S.counters(S.event_stream(spark, sf_dir))),
     "stream_sliding_load": lambda spark, sf_dir: S.run_available(S.sliding_load(S.event_stream(spark, sf_dir))).groupBy("vendor").agg(F.max("requests").alias("peak"), F.count("*").alias("windows")),
 }
 ORACLES = {
+    "stream_failure_alerts": """WITH c AS (SELECT 'v' || (user_id % 6)::VARCHAR AS vendor, event_type <> 'error' AS ok, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id % 6 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
+g AS (SELECT vendor, run FROM c WHERE NOT ok GROUP BY ALL HAVING count(*) >= 2) SELECT vendor, count(*) AS alerts FROM g GROUP BY 1""",
     "stream_daily_rate": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL",
     "stream_counters": "SELECT user_id, count(*) AS mentions, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1",
     "stream_sliding_load": """WITH w AS (SELECT user_id % 6 AS vendor, time_bucket(INTERVAL 10 SECONDS, ts) - i * INTERVAL 10 SECONDS AS start FROM events, range(0, 6) AS r(i)),

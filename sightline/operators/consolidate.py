@@ -78,3 +78,67 @@ def promoted(entities: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
     """(names to add to the competitor list, promoted rows that the list lacks): the two differences of the same sets."""
     p = entities.where("status = 'promoted'").select("name")
     return known.join(p, "name", "left_anti"), p.join(known, "name", "left_anti")
+
+
+def known_matches(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, key, root, priority) of every name and the known names that it matches or equals.
+
+    names (name); known (name, key, root, priority): own brand first, then its sub-brands, competitors and theirs.
+    """
+    from sightline.operators.entities import name_forms, pairs
+
+    k = known.select(F.col("name").alias("_k"), "key", "root", "priority")
+    found = pairs(name_forms(names.select("name").unionByName(known.select("name"))))
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    equal = names.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct()
+    m = both.join(names.select(F.col("name").alias("a")).distinct(), "a", "left_semi").unionByName(equal)
+    return m.join(k, F.col("b") == F.col("_k")).select(F.col("a").alias("name"), "key", "root", "priority").distinct()
+
+
+def roots(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, roots array): known roots of each name; none is an empty array."""
+    r = known_matches(names, known).groupBy("name").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+    return names.select("name").distinct().join(r, "name", "left").select("name", F.coalesce("roots", F.array().cast("array<string>")).alias("roots"))
+
+
+def cluster_keys(clusters: DataFrame, known: DataFrame) -> DataFrame:
+    """(cluster, key): the first known key, by priority then key, that any member of a cluster matches; null where none does."""
+    m = known_matches(clusters.select("name"), known)
+    best = clusters.join(m, "name").groupBy("cluster").agg(F.min(F.struct("priority", "key")).alias("p"))
+    return clusters.select("cluster").distinct().join(best, "cluster", "left").select("cluster", F.col("p.key").alias("key"))
+
+
+def fresh_profiles(mentions: DataFrame, cache: DataFrame, asof: str, days: int = 7) -> DataFrame:
+    """mentions (entity_key, ...) with is_fresh: a cached profile (entity_key, updated_at) not older than so many days."""
+    c = cache.groupBy("entity_key").agg(F.max("updated_at").alias("updated_at"))
+    fresh = F.coalesce(F.col("updated_at") >= F.date_sub(F.lit(asof).cast("date"), days), F.lit(False))
+    return mentions.join(c, "entity_key", "left").withColumn("is_fresh", fresh)
+
+
+def apply_verdicts(entities: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Entities (name, status) with verdict rows (name, alias_of, parent, is_competitor) applied: alias, then sub-brand, then competitor, else rejected."""
+    v = verdicts.select(F.col("name").alias("_n"), "alias_of", "parent", "is_competitor")
+    status = F.when(F.col("alias_of").isNotNull(), "alias").when(F.col("parent").isNotNull(), "sub_brand").when(F.col("is_competitor"), "promoted").otherwise("rejected")
+    out = entities.join(v, F.col("name") == F.col("_n"), "left")
+    return out.withColumn("status", F.when(F.col("_n").isNotNull(), status).otherwise(F.col("status"))).drop("_n", "is_competitor")
+
+
+def embedding_guard(groups: DataFrame, least: float = 0.70) -> DataFrame:
+    """(name, cluster) from (cluster, rank, name, v): in rank order a member stays if its largest cosine to a member kept before is at least `least`,
+    else it stands alone; members without a vector stay. Groups are the small fuzzy clusters of names."""
+    import numpy as np
+    import pandas as pd
+
+    def guard(g: pd.DataFrame) -> pd.DataFrame:
+        kept, out = [], []
+        for name, v in g.sort_values("rank")[["name", "v"]].itertuples(index=False):
+            u = None
+            if v is not None and np.linalg.norm(v) > 0:
+                u = np.asarray(v, float) / np.linalg.norm(v)
+            stays = u is None or not kept or max(float(u @ k) for k in kept) >= least
+            if u is not None and stays:
+                kept.append(u)
+            out.append((name, g["cluster"].iloc[0] if stays else f"n:{name}"))
+        return pd.DataFrame(out, columns=["name", "cluster"])
+
+    return groups.groupBy("cluster").applyInPandas(guard, "name string, cluster string")

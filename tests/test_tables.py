@@ -71,3 +71,23 @@ def test_write_back(spark):
     assert {x["name"]: x["status"] for x in C.set_status(s, spark.createDataFrame([("n",)], "name string"), "rejected").collect()} == {"p": "promoted", "n": "rejected"}
     add, lacking = C.promoted(s, spark.createDataFrame([("k",)], "name string"))
     assert [x["name"] for x in add.collect()] == ["k"] and [x["name"] for x in lacking.collect()] == ["p"]
+
+
+def test_known_names(spark):
+    names = spark.createDataFrame([("Acme Inc",), ("акме",), ("Acme",), ("Globex",), ("Nobody Here",)], "name string")
+    known = spark.createDataFrame([("Acme", "Acme", "Acme", 0), ("Globex Pro", "Globex::Pro", "Globex", 3), ("Globex", "Globex", "Globex", 2)], "name string, key string, root string, priority int")
+    got = {r["name"]: r["roots"] for r in C.roots(names, known).collect()}
+    assert got["Acme Inc"] == got["Acme"] == ["Acme"] and "Globex" in got["Globex"] and got["Nobody Here"] == []
+    c = spark.createDataFrame([("Acme Inc", "c1"), ("Globex", "c1"), ("Nobody Here", "c2")], "name string, cluster string")
+    assert {r["cluster"]: r["key"] for r in C.cluster_keys(c, known).collect()} == {"c1": "Acme", "c2": None}
+
+
+def test_cache_verdicts_guard(spark):
+    m = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_key string")
+    k = spark.createDataFrame([("a", date(2024, 1, 5)), ("b", date(2023, 1, 5)), ("a", date(2023, 1, 1))], "entity_key string, updated_at date")
+    assert {r["entity_key"]: r["is_fresh"] for r in C.fresh_profiles(m, k, "2024-01-10").collect()} == {"a": True, "b": False, "c": False}
+    e = spark.createDataFrame([(n, "new") for n in "abcde"], "name string, status string")
+    v = spark.createDataFrame([("a", "z", None, True), ("b", None, "p", True), ("c", None, None, True), ("d", None, None, None)], "name string, alias_of string, parent string, is_competitor boolean")
+    assert {r["name"]: r["status"] for r in C.apply_verdicts(e, v).collect()} == {"a": "alias", "b": "sub_brand", "c": "promoted", "d": "rejected", "e": "new"}
+    g = spark.createDataFrame([("k", 1, "a", [1.0, 0.0]), ("k", 2, "b", [0.0, 1.0]), ("k", 3, "c", [0.9, 0.1]), ("k", 4, "d", None)], "cluster string, rank int, name string, v array<double>")
+    assert {r["name"]: r["cluster"] for r in C.embedding_guard(g).collect()} == {"a": "k", "b": "n:b", "c": "k", "d": "k"}

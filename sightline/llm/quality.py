@@ -111,9 +111,13 @@ def quality(df: DataFrame, text: str = "text", rules: LineRules | None = None) -
         "base_failed": (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20),
         "_q_left": F.length("clean_text") - F.regexp_count("clean_text", F.lit(SPACE)),
     })
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "_q_left"]
+    # a one-row explode keeps filters on the results above it; pushed down, they would copy the window hashing into themselves
+    row = F.explode_outer(F.array(F.struct(*own))).alias("_q_row")
+    out = out.select(*[c for c in df.columns if c not in {*own, "kept"}], row).select("*", "_q_row.*").drop("_q_row")
     lost = F.col("word_chars") - F.col("_q_left")
-    out = out.withColumn("kept", ~F.col("base_failed") & (lost <= F.col("word_chars") * r.max_lost_share))
-    return out.drop("_q_text", "_q_words", "_q_lines", "_q_hashes", "_q_worded", "_q_good", "_q_left")
+    kept = ~F.col("base_failed") & (lost <= F.col("word_chars") * r.max_lost_share)
+    return out.withColumn("kept", kept).drop("_q_left")
 
 
 OP6_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -28,6 +28,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END, SEQ_LEN, SHARD, KEY, ROUNDS = 50256, 2048, 4096, 0x5EED, 6
+MAX_PARTS = 1_000_000
 _PIECE = 1 << 19
 
 
@@ -107,6 +108,8 @@ def materialise(df: DataFrame, path: str, text: str = "text", vocabulary: str =
     packed = written(sequences(df, text, vocabulary, seq_len), "packed")
     parts = packed.groupBy("part").agg(F.count("*").alias("n"))  # a row per input partition
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    if parts.count() <= MAX_PARTS:  # 16 bytes each; tokens are then shuffled once only
+        parts = F.broadcast(parts)
     total = packed.count()
 
     @F.pandas_udf("long")
@@ -119,7 +122,7 @@ def materialise(df: DataFrame, path: str, text: str = "text", vocabulary: str =
     out = packed.join(parts, "part").select(slot(F.col("before") + F.col("at")).alias("slot"), "n_tokens", "n_ends", "tokens")
     out = out.withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
     out = out.repartitionById(shards, F.col("shard")) if hasattr(out, "repartitionById") else out.repartition(shards, "shard")
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     if not total:
         spark.createDataFrame([], out.schema).write.mode("overwrite").parquet(path)
 

@@ -213,7 +213,8 @@ def components(docs: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     docs = written(fingerprints(df, doc, text), "fingerprints")
-    return docs.join(components(docs), "fp").select("doc_id", "fp", "component_id")
+    # written, so that the join has a shuffle on both sides and a fingerprint with very many documents can be split
+    return docs.join(written(components(docs), "components"), "fp").select("doc_id", "fp", "component_id")
 
 
 def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Texts and benchmark items become words (lower case, ASCII punctuation between them) and words become 64-bit hashes. One pass over
-all documents looks up every SEED-word shingle among the items' shingles and emits, for the passages around the hits, the
-passage's word hashes; so texts are read once and never shuffled. Corpus frequencies of the seeds are counted over all documents,
-and each item keeps its rarer seeds: those up to the given quantile of its own frequencies, ties included, so that an item copied into very many documents still has seeds.
-Passages and items that share a seed are joined, and Smith-Waterman alignment over words decides: similarity is
-the share of the item's words that the best local alignment matches.
+all documents looks up every SEED-word shingle among the items' shingles and cuts out the passages around the hits; so texts are
+read once and never shuffled. Every item that shares a seed with a passage is a candidate, whichever seed it is: the rarest one
+that the two share finds the pair, and no frequency rules a seed out, as an edited copy may keep common ones only. An item goes
+before alignment only if too few of its words occur in the passage for any alignment to reach the similarity. Smith-Waterman
+alignment over words decides: similarity is the share of the item's words that the best local alignment matches.
 
 Defined results: null or wordless texts and items match nothing. Items of fewer than SEED words
 are too short to tell a copy from common speech and match nothing. Repeated
 rows give one row per (doc_id, item_id), the best; rows of a null doc_id count as one document. Extra columns are ignored, empty tables give an empty
-table. The items' shingles are broadcast up to MAX_SEEDS of them (16 bytes each); beyond that every shingle is joined instead.
+table. The items are broadcast up to MAX_SEEDS words of them (at most 32 bytes each), and passages are aligned where they are read;
+beyond that every shingle of the documents is joined instead.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.windows import Hasher
 from sightline.sources.shared import written
 
-SEED, RARE_QUANTILE, SIMILARITY, MAX_SEEDS = 5, 0.75, 0.8, 1_000_000
+SEED, SIMILARITY, MAX_SEEDS = 5, 0.8, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 _PUNCTUATION = re.compile(rb"\xe2\x80[\x90-\xaf]|\xc2[\xa0-\xbf]")  # general punctuation and Latin-1 signs
@@ -110,61 +111,117 @@ def _items(bench: DataFrame, item: str, text: str) -> DataFrame:
     return bench.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "item_id long, words array<long>, seeds array<long>")
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, similarity, score, matched, first_word, last_word) of every document and item at or above the similarity."""
-    spark = docs.sparkSession
-    items = written(_items(bench, item, item_text).where(F.size("words") >= SEED), "items")
-    seeds = items.select(F.explode("seeds").alias("seed")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
-    known = None
-    if size[0] <= MAX_SEEDS:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in seeds.collect()], np.int64)))
-    reach = int(size[1]) * 3 // 2 + SEED
+class _Index:
+    """Items by their seeds, to be broadcast."""
+
+    def __init__(self, ids: np.ndarray, words: list[np.ndarray], seeds: list[np.ndarray]) -> None:
+        self.ids, self.size = ids, np.array([len(w) for w in words], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.int64), *words])
+        self.start = np.cumsum(self.size) - self.size
+        flat = np.concatenate([np.zeros(0, np.int64), *seeds])
+        order = np.argsort(flat, kind="stable")
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.owner = np.repeat(np.arange(len(ids)), [len(x) for x in seeds])[order]
+        self.first = np.append(first, len(flat))
+
+    def item(self, i: int) -> np.ndarray:
+        return self.words[self.start[i] : self.start[i] + self.size[i]]
+
+    def candidates(self, at: np.ndarray, passage: np.ndarray, similarity: float) -> list[int]:
+        """Items that hold one of the keys at the given places, but for those with too few words in the passage."""
+        own = np.unique(np.concatenate([self.owner[self.first[k] : self.first[k + 1]] for k in at.tolist()]))
+        known, out = np.unique(passage), []
+        for some in np.array_split(own, 1 + int(self.size[own].sum()) // _BLOCK):
+            if len(some):
+                n = self.size[some]
+                to = np.cumsum(n)
+                w = self.words[np.repeat(self.start[some] - (to - n), n) + np.arange(to[-1])]
+                there = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w
+                out += some[np.add.reduceat(there, to - n, dtype=np.int64) / n >= similarity].tolist()
+        return out
+
+
+def _scored(doc: int | None, item: int, first: int, words: np.ndarray, passage: np.ndarray) -> tuple:
+    got = align(words, passage)
+    return doc, item, got[1] / len(words), got[0], got[1], first + got[2], first + got[3]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "item_id", "similarity", "score", "matched", "first_word", "last_word"])
+
+
+_SCORED = "doc_id long, item_id long, similarity double, score long, matched long, first_word long, last_word long"
+
+
+def _looked_up(texts: DataFrame, items: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """Alignments by the broadcast index of the items."""
+    t = items.toArrow()
+    words, seeds = ([np.asarray(x.values) for x in t.column(c)] for c in ("words", "seeds"))
+    known = items.sparkSession.sparkContext.broadcast(_Index(t.column("item_id").to_numpy(), words, seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(3)
-        if known is not None:
-            keys = known.value
-            maybe = np.zeros(1 << 20, bool)
-            maybe[keys.view(np.uint64) >> np.uint64(44)] = True
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        hasher, index = Hasher(3), known.value
+        keys = index.keys
+        maybe = np.zeros(1 << 20, bool)
+        maybe[keys.view(np.uint64) >> np.uint64(44)] = True
         for b in batches:
             rows: list[tuple] = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = word_hashes(t, hasher)
                 s = shingles(w)
-                if known is not None:
-                    hits = np.flatnonzero(maybe[s.view(np.uint64) >> np.uint64(44)])
-                    if not len(hits) or not len(keys):
-                        continue
-                    hits = hits[keys[np.minimum(np.searchsorted(keys, s[hits]), len(keys) - 1)] == s[hits]]
-                else:
-                    hits = np.arange(len(s))
+                hits = np.flatnonzero(maybe[s.view(np.uint64) >> np.uint64(44)])
+                if not len(hits):
+                    continue
+                at = np.minimum(np.searchsorted(keys, s[hits]), len(keys) - 1)
+                true = keys[at] == s[hits]
+                hits, at = hits[true], at[true]
                 for lo, hi in _passages(hits, len(w), reach):
-                    rows.append((d, lo, w[lo:hi], np.unique(s[hits[(hits >= lo) & (hits < hi)]])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "first", "passage", "seeds"])
-
-    found = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, first int, passage array<long>, seeds array<long>")
-    found = written(found, "passages")
-    # rare seeds of each item, by the number of documents that hold them
-    spread = found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("df"))
-    own = items.select("item_id", F.explode("seeds").alias("seed")).join(spread, "seed")
-    cut = F.percentile("df", RARE_QUANTILE).over(Window.partitionBy("item_id"))
-    rare = own.withColumn("cut", cut).where("df <= cut").select("seed", "item_id")
-    pairs = found.withColumn("seed", F.explode("seeds")).drop("seeds").join(rare, "seed").drop("seed").withColumn("ph", F.xxhash64("passage"))
-    pairs = pairs.dropDuplicates(["doc_id", "first", "ph", "item_id"]).join(items.select("item_id", "words"), "item_id")
+                    for i in index.candidates(np.unique(at[(hits >= lo) & (hits < hi)]), w[lo:hi], similarity):
+                        rows.append(_scored(d, int(index.ids[i]), lo, index.item(i), w[lo:hi]))
+            yield _rows(rows)
+
+    return texts.mapInArrow(run, _SCORED)
+
+
+def _joined(texts: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """Alignments of whole documents that a join on all their shingles finds, for items too many to broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, kind = Hasher(3), pa.list_(pa.int64())
+        for b in batches:
+            words = [word_hashes(t, hasher) for t in b.column(1).to_pylist()]
+            seeds = [np.unique(shingles(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, kind), pa.array(seeds, kind)], names=["doc_id", "passage", "seeds"])
+
+    found = texts.mapInArrow(run, "doc_id long, passage array<long>, seeds array<long>").where(F.size("passage") > 0)
+    found = written(found.withColumn("ph", F.xxhash64("passage")), "passages")
+    items = items.withColumn("ih", F.xxhash64("words"))
+    own = items.select("item_id", "ih", F.explode("seeds").alias("seed"))
+    pairs = found.select("ph", F.explode("seeds").alias("seed")).distinct().join(own, "seed").select("ph", "item_id", "ih").distinct()
+    pairs = pairs.join(items.select("item_id", "ih", "words"), ["item_id", "ih"]).join(found.select("ph", "doc_id", "passage").distinct(), "ph")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, i, first, passage, words in zip(*(b.column(c) for c in range(5)), strict=True):
+            for d, i, passage, words in zip(*(b.column(c) for c in range(4)), strict=True):
                 x, y = (v.values.to_numpy(zero_copy_only=False) for v in (words, passage))
-                got = align(x, y)
-                rows.append((d.as_py(), i.as_py(), got[1] / len(x), got[0], got[1], first.as_py() + got[2], first.as_py() + got[3]))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "item_id", "similarity", "score", "matched", "first_word", "last_word"])
+                if np.isin(x, y).sum() / len(x) >= similarity:
+                    rows.append(_scored(d.as_py(), i.as_py(), 0, x, y))
+            yield _rows(rows)
+
+    return pairs.select("doc_id", "item_id", "passage", "words").mapInArrow(score, _SCORED)
+
 
-    scored = pairs.select("doc_id", "item_id", "first", "passage", "words").mapInArrow(score, "doc_id long, item_id long, similarity double, score long, matched long, first_word long, last_word long")
+def contaminated(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, similarity, score, matched, first_word, last_word) of every document and item at or above the similarity."""
+    items = written(_items(bench, item, item_text).where((F.size("words") >= SEED) & F.col("item_id").isNotNull()), "items")
+    size = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
+    texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if size[0] <= MAX_SEEDS:
+        scored = _looked_up(texts, items, int(size[1]) * 3 // 2 + SEED, similarity)
+    else:
+        scored = _joined(texts, items, similarity)
     best = F.max(F.struct("similarity", "score", "matched", -F.col("first_word"), -F.col("last_word")))
     out = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(best.alias("b"))
     return out.select("doc_id", "item_id", "b.similarity", "b.score", "b.matched", (-F.col("b.col4")).alias("first_word"), (-F.col("b.col5")).alias("last_word"))

@@ -61,3 +61,23 @@ def test_pairs_match_brute_force(spark, monkeypatch):
     left = {r["doc_id"] for r in D.decontaminate(df, bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in want}
     assert D.contaminated(df.where("false"), bench).collect() == [] and D.contaminated(df, bench.where("false")).collect() == []
+
+
+def test_edited_copies_beside_verbatim_ones(spark, monkeypatch):
+    items = [[f"w{i}" for i in range(30)], [f"v{i}" for i in range(28)]]
+    edited = [[f"x{d}" if i % 5 == 0 and i else w for i, w in enumerate(items[0])] for d in range(20)]
+    assert all(sum(a == b for a, b in zip(e, items[0])) == 25 for e in edited)
+    common = items[0][:5] + items[1]  # shares a seed with the first item, but nothing else
+    docs = [items[0], *edited, items[1], common, ["a", "b", *edited[0][:12]]]
+    want = set()
+    for d, w in enumerate(docs):
+        for i, item in enumerate(items):
+            shared = {tuple(item[x : x + 5]) for x in range(len(item) - 4)} & {tuple(w[x : x + 5]) for x in range(len(w))}
+            if shared and D.align(np.array([hash(x) for x in item]), np.array([hash(x) for x in w]))[1] / len(item) >= 0.8:
+                want.add((d, i))
+    assert {(d, 0) for d in range(21)} <= want
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for limit in (10**6, 10):
+        monkeypatch.setattr(D, "MAX_SEEDS", limit)
+        assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench).collect()} == want

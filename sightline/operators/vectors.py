@@ -15,6 +15,7 @@ from sightline.operators.graph import connected_components
 from sightline.sources.shared import written
 
 PIVOTS, BLOCKS = 32, 2
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
 
 def _unit(rows) -> np.ndarray:
@@ -81,6 +82,35 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> Dat
     return both.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
+def search(queries: DataFrame, df: DataFrame, id_col: str, vec_col: str, distance: float) -> DataFrame:
+    """(q, id, distance) of all other vectors within a cosine distance of each query, exactly; zero and null vectors are near nothing.
+
+    Queries are dealt over blocks of about QUERY_BLOCK rows and vectors over blocks of about VECTOR_BLOCK, in turn and not by content; each pair of blocks
+    is one matrix product in one task, so a task holds at most that many rows of both and their distances."""
+
+    def dealt(t: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+        v = t.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+        v = written(v.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))), name)
+        n = max(1, -(-v.count() // rows))
+        at = F.monotonically_increasing_id()
+        return v.withColumn("at", F.pmod(at.bitwiseAND((1 << 33) - 1) + F.shiftright(at, 33), F.lit(n)).cast("int")), n
+
+    q, qs = dealt(queries, QUERY_BLOCK, "queries")
+    v, vs = dealt(df, VECTOR_BLOCK, "vectors")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = q.withColumnRenamed("at", "x").withColumn("y", every(vs)), v.withColumnRenamed("at", "y").withColumn("x", every(qs))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        i = j = np.zeros(0, np.int64)
+        d = np.zeros((0, 0))
+        if len(a) and len(b):
+            d = 1.0 - _unit(a["v"]) @ _unit(b["v"]).T
+            i, j = np.nonzero((d <= distance) & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()))
+        return pd.DataFrame({"q": a["id"].to_numpy()[i], "id": b["id"].to_numpy()[j], "distance": d[i, j]})
+
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(compare, "q long, id long, distance double")
+
+
 def average_linkage(ids: np.ndarray, unit: np.ndarray, cut: float) -> np.ndarray:
     """Cluster label (smallest id) of each vector: the nearest two clusters merge while their mean pairwise distance is at most cut."""
     n = len(ids)

@@ -65,13 +65,22 @@ def name_counts(spark, sf_dir):
 
 
 def vector_pairs(spark, sf_dir):
-    """Queries (every 50th vector) against all vectors: neighbours within distance 0.6."""
+    """Queries (every 50th vector) against the vectors of their own label: neighbours within distance 0.6. vector_search has those of all labels."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"), F.col("label").alias("ql"))
     d = q.join(v, F.col("ql") == F.col("label")).where("q <> vec_id").withColumn("distance", F.round(E.cosine(F.col("e"), F.col("embedding")), 6))
     return d.where("distance <= 0.6").select("q", "vec_id", "distance")
 
 
+def vector_search(spark, sf_dir):
+    """Queries (every 50th vector) against all vectors, whatever their label: neighbours within distance 0.6."""
+    from sightline.operators.vectors import search
+
+    v = table(spark, sf_dir, "embeddings")
+    d = search(v.where("vec_id % 50 = 0"), v, "vec_id", "embedding", 0.6 + 5e-7).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+    return d.where("distance <= 0.6").select("q", F.col("id").alias("vec_id"), "distance")
+
+
 def vector_neighbours(spark, sf_dir):
     from sightline.operators.vectors import neighbours
 
@@ -182,6 +191,7 @@ QUERIES = {
     "canonical_pick": canonical_pick,
     "name_counts": name_counts,
     "vector_pairs": vector_pairs,
+    "vector_search": vector_search,
     "vector_means": vector_means,
     "vector_neighbours": vector_neighbours,
     "vector_clusters": vector_clusters,
@@ -219,6 +229,7 @@ ORACLES = {
     "name_components": _FORMS + f", e AS ({_EXACT}), g AS (SELECT name, bare FROM forms WHERE bare <> '') SELECT component, members FROM (SELECT bare, min(name) AS component, count(*) AS members FROM g GROUP BY 1) WHERE members > 1",
     "name_counts": f"WITH names AS ({_NAMES}) SELECT name, sum(freq)::BIGINT AS freq FROM names GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "vector_pairs": f"SELECT x.vec_id AS q, y.vec_id, {_DIST} AS distance FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 AND {_DIST} <= 0.6",
+    "vector_search": f"SELECT x.vec_id AS q, y.vec_id, {_DIST} AS distance FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 AND {_DIST} <= 0.6",
     "vector_means": "SELECT label, place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INT AS place FROM embeddings) GROUP BY ALL",
     "resilience_expand": "SELECT sha256(p_partkey::VARCHAR || '|' || r.i::VARCHAR)[1:16] AS request_id, p_partkey AS query_id, r.i::INT AS run, md5('session|' || p_partkey::VARCHAR)[1:12] AS session_id FROM part, range(0, 3) AS r(i) WHERE p_partkey % 10 <> 0",
     "page_answer_first": _PAGE + "SELECT page_id, title, first_chars, has_summary, score FROM s",

@@ -28,3 +28,24 @@ def test_neighbours_and_clusters(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in V.clusters(df, "vec_id", "e", 0.1).collect()}
     assert got == {**brute_clusters(list(range(len(m))), m, 0.1), 900: 900, 901: 901}
     assert V.clusters(df.where("false"), "vec_id", "e").collect() == []
+
+
+def test_search_meets_all_vectors(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sightline.plans import entities as E
+
+    rng = np.random.default_rng(4)
+    m = np.repeat(rng.normal(size=(40, 8)), 5, axis=0) + rng.normal(scale=0.4, size=(200, 8))
+    label = [None if i % 7 == 0 else i % 3 for i in range(200)]
+    df = spark.createDataFrame([(i, x.tolist(), y) for i, (x, y) in enumerate(zip(m, label))] + [(900, [0.0] * 8, 1), (950, None, 1)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(E, "table", lambda *_: df)
+    u = V._unit(m)
+    want = {(i, j) for i in range(0, 200, 50) for j in range(200) if i != j and round(1 - u[i] @ u[j], 6) <= 0.6}
+    assert any(label[i] != label[j] for i, j in want) and any(label[j] is None for _, j in want)
+    for sizes in ((512, 4096), (2, 30)):
+        monkeypatch.setattr(V, "QUERY_BLOCK", sizes[0])
+        monkeypatch.setattr(V, "VECTOR_BLOCK", sizes[1])
+        got = [(r["q"], r["vec_id"]) for r in E.vector_search(spark, "").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert V.search(df, df.where(F.lit(False)), "vec_id", "embedding", 0.6).collect() == []

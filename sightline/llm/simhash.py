@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm import minhash
+from sightline.llm.windows import Hasher
 from sightline.operators.graph import connected_components
 from sightline.sources.shared import written
 
@@ -217,13 +219,38 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     return docs.join(written(components(docs), "components"), "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the documents whose component holds a smaller id; rows of a null id stay, repeated ids keep one row."""
-    ids = near_duplicates(df, doc, text).select(F.col("doc_id").alias("_id"), "component_id").where("_id <> component_id").select("_id").distinct()
-    kept = df.join(ids, F.col(doc).cast("long") == F.col("_id"), "left_anti")
-    if kept.where(F.col(doc).isNotNull()).groupBy(doc).count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(doc).isNotNull()).dropDuplicates([doc]).unionByName(kept.where(F.col(doc).isNull()))
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, th, fp, bands) of the rows of a (doc_id, th, text) table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(5)
+        for b in batches:
+            raw = [x.as_py() or b"" for x in b.column(2).cast(pa.large_binary())]
+            fps = np.fromiter(map(fingerprint, raw), np.uint64, len(raw))
+            bands = pa.array([minhash.band_keys(minhash.shingle_set(x, hasher, shingle)) for x in raw], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), bands], names=["doc_id", "th", "fp", "bands"])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp long, bands array<long>")
+
+
+def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = minhash.SIMILARITY, shingle: int = minhash.SHINGLE) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest id; rows of a null id stay.
+
+    Fingerprints group first, by the links of components(); the groups' smallest rows are then grouped by the Jaccard similarity of their shingles.
+    Rows go by themselves: one id with two texts is two rows, of which each stays or goes with its own group."""
+    th = F.xxhash64(F.col(text))
+    docs = df.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), th.alias("th"), F.col(text).alias("text"))
+    rows = written(_signatures(docs, shingle), "signatures")
+    same = components(rows.select(F.col("fp").alias("doc_id"), "fp"))  # a node is a fingerprint here, whatever its ids
+    least = rows.join(written(same, "components"), "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "th", "bands")).alias("r")).select("r.*")
+    least = written(least, "least")
+    near = minhash.groups(least.select("th", "bands"), docs.select("th", "text"), similarity, shingle)
+    alike = least.select("doc_id", "th").join(written(near, "near").withColumnRenamed("node", "th"), "th", "left")
+    keep = alike.groupBy(F.coalesce("component", "th").alias("g")).agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"))
+    kept = df.join(keep, (F.col(doc).cast("long") == F.col("_id")) & (th == F.col("_th")), "left_semi")
+    if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("_th", th).dropDuplicates([doc, "_th"]).drop("_th")
+    return kept.unionByName(df.where(F.col(doc).isNull()))
 
 
 def op8_simhash_components(spark, sf_dir: str) -> DataFrame:

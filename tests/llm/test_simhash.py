@@ -61,3 +61,45 @@ def test_edge_rows(spark):
     assert got == [(-1, 7), (5, 5), (6, 5), (7, 7), (7, 7)]
     assert S.near_duplicates(df.where("false")).collect() == []
     assert sorted((r["doc_id"] or -1) for r in S.dedup(df).collect()) == [-1, 5, 7]
+
+
+def brute_kept(texts):
+    """Ids left of distinct texts: 4-bit components' smallest, then components of five-word Jaccard >= 0.8 among those."""
+    left = sorted({*brute_components({i: brute_fp(t) for i, t in texts.items()}).values()})
+    sets = {i: {tuple((texts[i] or "").lower().split()[x : x + 5]) for x in range(max(1, len((texts[i] or "").split()) - 4))} for i in left}
+    root = {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in left:
+        for j in left:
+            if i < j and texts[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in left}
+
+
+def test_dedup_matches_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for i in range(160):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(60, 240))]
+        if i and rng.random() < 0.6:
+            w = texts[rng.randrange(i)].split()
+            for _ in range(rng.randrange(0, 1 + len(w) // 40)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts[i] = " ".join(w)
+    want = brute_kept(texts)
+    assert len(want) < len({*brute_components({i: brute_fp(t) for i, t in texts.items()}).values()}) - 5  # near copies beyond four bits
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.dedup(df).collect()) == sorted(want)
+
+
+def test_dedup_removes_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    df = spark.createDataFrame([(3, a), (7, a), (7, b), (8, b), (9, c), (9, c)], "doc_id long, text string")
+    assert sorted(map(tuple, S.dedup(df).collect())) == [(3, a), (7, b), (9, c)]

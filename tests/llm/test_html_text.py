@@ -1,5 +1,6 @@
 import html as H
 import re
+import time
 
 from sightline.llm import html_text as X
 
@@ -46,3 +47,41 @@ def test_query_over_table(spark, sf_dir):
         body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [" ".join(H.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+STORY = "word " * 60
+
+
+def test_names_that_only_hold_a_word_of_furniture():
+    for c in ("post category-social", "entry comments-open", "content search-result-detail", "story related-topic-economy", "article-body ad-free", "no-sidebar", "share"):
+        assert X.extract(f'<body><nav><a href="/">Home</a></nav><div class="{c}"><p>{STORY}</p></div></body>', None) == STORY.strip(), c
+    inside = f'<article><p>{STORY}</p><p class="notice-period">three months</p><section class="skip-level"><p>second level</p></section><p>a <span class="alert">red</span> word</p></article>'
+    assert X.extract(inside, None) == f"{STORY.strip()}\n\nthree months\n\nsecond level\n\na red word"
+
+
+def test_furniture_goes():
+    goes = ["cookie-notice", "main-nav", "ad-slot", "socialShare", "related-posts", "comments", "comment-list", "sidebar-left", "newsletter-box", "breadcrumbs", "popup"]
+    page = "".join(f'<div class="{c}"><p>gone {c}</p></div>' for c in goes)
+    for article in (f"<article><h1>T</h1><p>{STORY}</p>{page}</article>{page}", f"{page}<div class=text><h1>T</h1><p>{STORY}</p>{page}</div>"):
+        assert X.extract(f"<body><div class=site-header>gone</div>{page}{article}<footer>gone</footer></body>", None) == f"T\n\n{STORY.strip()}"
+    remarks = "".join(f"<li class=comment><article class=comment-body><p>{STORY * 5}</p></article></li>" for _ in range(9))
+    assert X.extract(f"<main><p>short</p><ol class=comment-list>{remarks}</ol></main>", None) == "short"
+
+
+def test_wrappers_lose_nothing():
+    for wrap in ('<form id="aspnetForm">%s</form>', '<div style="display:none">%s</div>', "<nav><ul><li>x</ul>%s", '<div class="modal">%s</div>', "<header>%s</header>"):
+        assert STORY.strip() in X.extract(f"<body>{wrap % f'<div><p>{STORY}</p></div>'}</body>", None)
+
+
+def test_sections_of_uneven_length():
+    sections = "".join(f"<section><p>{'w ' * n}</p></section>" for n in (300, 60, 40))
+    for t in ("article", "div"):
+        assert X.extract(f"<body><div><{t}>{sections}</{t}></div></body>", None).count("\n\n") == 2
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    pages = ["<a " * 350_000, "<div class=a>" * 100_000 + "x", '<a ">" ' * 100_000, "<b><li>" * 50_000, "<b>" * 20_000 + "<li>" * 20_000 + "</b>" * 20_000, "&#" + "9" * 100_000, "<!--" * 250_000, "<" * 500_000]
+    start = time.perf_counter()
+    for h in pages:
+        X.extract(h, ["body>div.a"])
+    assert time.perf_counter() - start < 60

@@ -1,19 +1,23 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays, cut into pieces that Spark can shuffle.
+"""Removal of repeated byte strings by longest-previous-factor arrays, cut into groups that Spark can shuffle.
 
 A byte goes when a MIN_LEN-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same text. In
-terms of the longest-previous-factor array, those are the windows with LPF[start] >= MIN_LEN. One suffix array over the whole
-corpus cannot be built in pieces, but only suffixes that agree in MIN_LEN bytes ever meet, so:
-
-1. every window gets the smallest hash of its K-byte strings; equal windows get equal minima. Neighbouring windows whose leftmost
-   minimum is the same string form a run (about 43 windows), and runs are what is shuffled: (minimum, hash of the run's bytes, place);
-2. of runs with equal bytes all but the first repeat as a whole (each task settles its own repeats before the shuffle);
-3. minima under which different bytes occur are compared window by window: the runs' bytes are fetched by a join, their
-   suffixes sorted, and in suffix order with ties by place the previous smaller place of a suffix with LPF >= MIN_LEN is its
-   predecessor, so the longest common prefix with it decides. Minima with more than HOT such runs (a line that thousands of texts share) are
-   dealt out by window hash instead, so no group of suffixes outgrows a task;
-4. repeated windows are joined back to their documents and the union of them is cut out.
-
-Hashes are 64 bits; in step 3 bytes themselves are compared except under hot minima.
+terms of the longest-previous-factor array, those are the windows with LPF[start] >= MIN_LEN. lpf() computes that array as Crochemore and Ilie do:
+suffixes are sorted, neighbours' longest common prefixes taken, and for each suffix the nearest ones in suffix order with a smaller place, the
+previous and the next, give its longest earlier match. One suffix array over the whole corpus cannot be built in pieces, but only suffixes that
+agree in MIN_LEN bytes need to meet, and a suffix is compared no deeper than that:
+
+1. every window has the smallest hash of its K-byte strings; equal windows have equal minima. Neighbouring windows whose leftmost
+   minimum is the same string form a run (about 43 windows), and runs are what is shuffled: (minimum, place, windows);
+2. before that, each task takes the LPF of its own runs that look alike: LPF[i + 1] >= LPF[i] - 1, so a run whose first suffix has an earlier match
+   as long as the run with its last window is repeated as a whole, and does not travel;
+3. runs under a minimum that occurs once are done. For the others the bytes are fetched by a join with the documents, grouped by minimum, and
+   the LPF of the runs, then of the windows of those not repeated as a whole, decides;
+4. a minimum that a task meets in LOCAL_HOT runs, or that has more than HOT in all, is hot (a short line that thousands of texts share): its runs are
+   spread by document from the start, and dealt out by the hash of each window instead, once more after the LPF of each task's own windows.
+   The LPF of the windows that share a hash decides;
+5. repeated windows are joined back to their documents and the union of them is cut out.
+
+Hashes (64 bits) choose what is compared; bytes decide. A group holds at most HOT runs, or one window from each batch.
 
 Defined results: a null text is empty; texts under MIN_LEN bytes stay whole. A null doc_id comes before all others. Rows with one
 doc_id are one document given several times: equal texts are not each other's earlier copy, and each row loses what is repeated at
@@ -30,17 +34,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.windows import Hasher, segments, sliding_min, text_bytes
+from sightline.llm.windows import Hasher, mix, segments, sliding_min, text_bytes
 from sightline.sources.shared import written
 
-MIN_LEN, K, HOT = 100, 16, 4096
+MIN_LEN, K, HOT, LOCAL_HOT, SALTS, CHUNK = 100, 16, 4096, 64, 256, 1 << 19
 NO_ID = -(1 << 63)
-_ROWS = "g long, h long, doc long, p long, n long"
+_ROWS = "g long, salt int, doc long, p long, n long"
+
+
+def _nearest_smaller(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix in order: the longest common prefix with the nearest one before it of a smaller place (0 where there is none).
+
+    lcp[i] belongs to suffixes i - 1 and i. Minima over 1, 2, 4... neighbours let all suffixes step back at once.
+    """
+    n = len(place)
+    tables = [(place, lcp)]
+    while 1 << len(tables) <= n:
+        p, m = tables[-1]
+        half = 1 << len(tables) - 1
+        tables.append((np.concatenate([p[:half], np.minimum(p[half:], p[:-half])]), np.concatenate([m[:half], np.minimum(m[half:], m[:-half])])))
+    at, best = np.arange(n), np.full(n, np.iinfo(np.int64).max)
+    for level in range(len(tables) - 1, -1, -1):
+        p, m = tables[level]
+        step = 1 << level
+        can = np.flatnonzero(at >= step)
+        can = can[p[at[can] - 1] >= place[can]]  # none of the step suffixes before at has a smaller place
+        best[can] = np.minimum(best[can], m[at[can]])
+        at[can] -= step
+    return np.where(at > 0, np.minimum(best, lcp[at]), 0)
+
+
+def lpf(buf: np.ndarray, starts: np.ndarray, depth: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes, each cut at its depth: the longest match with a suffix of a smaller place."""
+    if len(starts) < 2:
+        return np.zeros(len(starts), np.int64)
+    width = int(depth.max())
+    if starts.max() + width > len(buf):
+        buf = np.concatenate([buf, np.zeros(width, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(buf, width)[starts]
+    if depth.min() < width:
+        rows[np.arange(width) >= depth[:, None]] = 0
+    order = np.lexsort((place, depth, rows.view(f"S{width}").ravel()))  # NULs sort as a shorter suffix's padding
+    rows, cut = rows[order], depth[order]
+    same = rows[1:] == rows[:-1]
+    lcp = np.zeros(len(rows), np.int64)
+    lcp[1:] = np.minimum(np.where(same.all(axis=1), width, same.argmin(axis=1)), np.minimum(cut[1:], cut[:-1]))
+    place = place[order]
+    before = _nearest_smaller(place, lcp)
+    after = _nearest_smaller(place[::-1], np.concatenate([[0], lcp[:0:-1]]))[::-1]
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def _places(doc: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (np.unique(doc, return_inverse=True)[1].astype(np.int64) << 40) + p
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, hasher: Hasher, min_len: int, k: int) -> list[np.ndarray]:
-    """(g, h, doc, p, n) of every run of a batch of texts: minimum, bytes' hash, place of the first window, windows."""
-    out = [[np.zeros(0, np.int64)] for _ in range(5)]
+    """(g, h, doc, p, n, at) of every run of a batch of texts: minimum, bytes' hash, place of the first window, windows, place in data."""
+    out = [[np.zeros(0, np.int64)] for _ in range(6)]
     for i, j, lo, hi in segments(offsets, min_len - 1):
         buf = data[lo:hi]
         if len(buf) < min_len:
@@ -62,27 +115,30 @@ def runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, hasher: Hasher,
         good = (a >= start[d]) & (a <= end[d] - min_len)
         a, b, d = a[good], b[good], d[good]
         h = hasher.span(a, b - 1 + min_len) + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        rows = ((low[a] >> np.uint64(32)).astype(np.int64), h.view(np.int64), ids[i:j][d], a + lo - offsets[i:j][d], b - a)
+        rows = (low[a].view(np.int64), h.view(np.int64), ids[i:j][d], a + lo - offsets[i:j][d], b - a, a + lo)
         for o, x in zip(out, rows, strict=True):
             o.append(x)
     return [np.concatenate(x) for x in out]
 
 
-def _settled(g, h, doc, p, n) -> pa.RecordBatch:
-    """First rows of each (g, h), and the others merged into repeated stretches: g = -1, n windows from p."""
-    o = np.lexsort((p, doc, h, g))
-    g, h, doc, p, n = (x[o] for x in (g, h, doc, p, n))
-    first = np.ones(len(g), bool)
-    first[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
-    # a row at the very place of the first one is the same window of a document given twice
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
-    again = ~first & ((doc != doc[lead]) | (p != p[lead]))
-    rd, rp, rn = merged(doc[again], p[again], n[again])
-    cols = (
-        np.concatenate([g[first], np.full(len(rd), -1)]), np.concatenate([h[first], rd ^ (rp << 20)]), np.concatenate([doc[first], rd]),
-        np.concatenate([p[first], rp]), np.concatenate([n[first], rn]),
-    )
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["g", "h", "doc", "p", "n"])
+def _alike(key: np.ndarray) -> np.ndarray:
+    """Whether a value occurs more than once."""
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[back] > 1
+
+
+def _chunks(key: np.ndarray, size: np.ndarray, chunk: int):
+    """Index arrays of whole groups of equal keys, of about chunk bytes each."""
+    order = np.argsort(key, kind="stable")
+    if not len(order):
+        return
+    k, total = key[order], np.cumsum(size[order])
+    ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))
+    at = 0
+    for e, nxt in zip(ends.tolist(), [*ends[1:].tolist(), -1], strict=True):
+        if nxt < 0 or total[nxt - 1] - (total[at - 1] if at else 0) > chunk:
+            yield order[at:e]
+            at = e
 
 
 def merged(doc, p, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,26 +158,47 @@ def merged(doc, p, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], p[at], np.maximum.reduceat(e, at) - p[at]
 
 
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32 if name == "salt" else np.int64)) for name, x in zip(names, columns, strict=True)], names=names)
+
+
+def _travelling(g, doc, p, n, repeated) -> pa.RecordBatch:
+    """Rows that are not repeated, hot ones spread (salt > 0) and announced (n = 0), and the repeated stretches (salt = -1)."""
+    d, q, m = merged(doc[repeated], p[repeated], n[repeated])
+    g, doc, p, n = (x[~repeated] for x in (g, doc, p, n))
+    low, back, count = np.unique(g, return_inverse=True, return_counts=True)
+    spread = mix(doc.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SALTS)
+    salt = np.where(count[back] >= LOCAL_HOT, 1 + spread.astype(np.int64), 0)
+    hot = low[count >= LOCAL_HOT]
+    none = np.zeros(len(hot), np.int64)
+    return _batch(
+        ["g", "salt", "doc", "p", "n"], np.concatenate([g, hot, d * 31 + q]), np.concatenate([salt, none, np.full(len(d), -1)]), np.concatenate([doc, none, d]),
+        np.concatenate([p, none, q]), np.concatenate([n, none, m]),
+    )
+
+
 def _rows(docs: DataFrame, min_len: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
             data, offsets = text_bytes(b.column(1))
-            yield _settled(*runs(data, offsets, b.column(0).to_numpy(), hasher, min_len, k))
+            g, h, doc, p, n, at = runs(data, offsets, b.column(0).to_numpy(), hasher, min_len, k)
+            depth, place, repeated = n - 1 + min_len, _places(doc, p), np.zeros(len(g), bool)
+            alike = np.flatnonzero(_alike(h))
+            for part in _chunks(h[alike], depth[alike], CHUNK):
+                part = alike[part]
+                repeated[part] = lpf(data, at[part], depth[part], place[part]) >= depth[part]
+            yield _travelling(g, doc, p, n, repeated)
 
     return docs.select("doc", "text").mapInArrow(run, _ROWS)
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """Repeated stretches (kind 1), and first runs whose minimum has other bytes too (kind 0, with how many such runs there are)."""
-    by = Window.partitionBy("g", F.when(F.col("g") < 0, F.col("h")))
-    w = by.orderBy("h", "doc", "p")
-    r = rows.withColumns({"h0": F.lag("h").over(w), "d0": F.lag("doc").over(w), "p0": F.lag("p").over(w)})
-    first = F.col("h0").isNull() | (F.col("h0") != F.col("h"))
-    same_place = ~first & (F.col("d0") == F.col("doc")) & (F.col("p0") == F.col("p"))
-    r = r.withColumn("kind", F.when((F.col("g") < 0), 1).when(first, 0).when(same_place, 2).otherwise(1))
-    r = r.withColumn("classes", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(by))
-    return r.where("kind = 1 or (kind = 0 and classes > 1)").select("kind", "g", "doc", "p", "n", "classes")
+    """Repeated stretches (kind 1), and runs whose minimum others have too (kind 0, with whether it is hot)."""
+    by = Window.partitionBy("g", "salt")
+    r = rows.withColumns({"c": F.count("*").over(by), "told": F.min("n").over(by) == 0})
+    r = r.withColumns({"kind": F.when(F.col("salt") < 0, 1).otherwise(0), "hot": F.col("told") | (F.col("salt") > 0) | (F.col("c") > HOT)})
+    return r.where("n > 0 and (kind = 1 or hot or c > 1)").select("kind", "g", "hot", "doc", "p", "n")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, min_len: int) -> DataFrame:
@@ -139,52 +216,57 @@ def _contexts(docs: DataFrame, asked: DataFrame, min_len: int) -> DataFrame:
             fits = lo + n - 1 + min_len <= offsets[where + 1]  # else a run of another text under the same doc_id
             g, hot, p, n, lo, where = (x[fits] for x in (g, hot, p, n, lo, where))
             raw = data.tobytes()
-            x = [raw[s:e] for s, e in zip(lo.tolist(), (lo + n - 1 + min_len).tolist(), strict=True)]
             doc = b.column(0).to_numpy()[where]
-            for at in range(0, len(x), 20_000):
+            for at in range(0, len(lo), 20_000):
                 s = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(hot[s]), pa.array(doc[s]), pa.array(p[s]), pa.array(x[s], pa.binary())], names=["g", "hot", "doc", "p", "x"])
+                x = [raw[i:j] for i, j in zip(lo[s].tolist(), (lo + n - 1 + min_len)[s].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(hot[s]), pa.array(doc[s]), pa.array(p[s]), pa.array(x, pa.binary())], names=["g", "hot", "doc", "p", "x"])
 
     joined = docs.join(lists.hint("shuffle_hash"), F.col("doc") == F.col("_d"))
     return joined.select("doc", "text", "runs").mapInArrow(run, "g long, hot boolean, doc long, p long, x binary")
 
 
-def repeated_windows(texts: list[bytes], min_len: int) -> np.ndarray:
-    """For the windows of all texts in order: whether LPF >= min_len, texts being given in order of place.
-
-    The windows are suffixes cut at min_len bytes, so their longest common prefix is min_len or less. After a stable sort, equal
-    suffixes stand together in order of place: the previous smaller place with the longest common prefix is the predecessor.
-    """
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
+def _windows(doc, p, size, min_len: int) -> tuple[np.ndarray, ...]:
+    """(start in the joined bytes, doc, p, run) of every window of runs given by their bytes' sizes."""
     n = size - min_len + 1
-    starts = np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n)
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, min_len)[starts]).view(f"S{min_len}").ravel()
-    order = np.argsort(suffixes, kind="stable")
-    in_order = suffixes[order]
-    out = np.zeros(len(starts), bool)
-    out[order[1:]] = in_order[1:] == in_order[:-1]
-    return out
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.cumsum(size) - size, n) + inner, np.repeat(doc, n), np.repeat(p, n) + inner, np.repeat(np.arange(len(n)), n)
 
 
-def _compared(contexts: DataFrame, min_len: int, chunk: int = 1 << 19) -> DataFrame:
-    """(doc, p, n) of repeated windows among runs that share a minimum; whole groups are gathered up to chunk bytes at a time."""
+def repeated_windows(texts: list[bytes], doc: np.ndarray, p: np.ndarray, min_len: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, p, n): stretches of windows with LPF >= min_len among the windows of all texts; a text starts at a place (doc, p)."""
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    whole = lpf(buf, np.cumsum(size) - size, size, _places(doc, p)) >= size
+    # a window that first occurs in a run repeated as a whole occurs before in the run that it repeats
+    start, d, q, run = _windows(doc, p, size, min_len)
+    hasher.load(buf)
+    keep = ~whole[run]
+    start, d, q = start[keep], d[keep], q[keep]
+    alike = _alike(hasher.span(start, start + min_len))
+    start, d, q = start[alike], d[alike], q[alike]
+    again = np.zeros(len(start), bool)
+    if len(start):
+        again = lpf(buf, start, np.full(len(start), min_len), _places(d, q)) >= min_len
+    n = np.concatenate([size[whole] - min_len + 1, np.ones(int(again.sum()), np.int64)])
+    return merged(np.concatenate([doc[whole], d[again]]), np.concatenate([p[whole], q[again]]), n)
+
+
+def _compared(contexts: DataFrame, min_len: int) -> DataFrame:
+    """(doc, p, n) of repeated windows among (g, doc, p, x); whole groups of equal g are gathered, CHUNK bytes or one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: list[tuple]) -> pa.RecordBatch:
-            texts = [x[3] for x in part]
-            again = repeated_windows(texts, min_len)
-            n = np.fromiter((len(x) - min_len + 1 for x in texts), np.int64, len(texts))
-            doc, p = (np.repeat(np.fromiter((x[k] for x in part), np.int64, len(part)), n) for k in (1, 2))
-            p = p + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-            d, q, m = merged(doc[again], p[again], np.ones(int(again.sum()), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (d, q, m)], names=["doc", "p", "n"])
+        hasher = Hasher(2)
+
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            doc, p = (np.fromiter((x[c] for x in held), np.int64, len(held)) for c in (1, 2))
+            return _batch(["doc", "p", "n"], *repeated_windows([x[3] for x in held], doc, p, min_len, hasher))
 
         held: list[tuple] = []
         size = 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > chunk and row[0] != held[-1][0]:
+                if size > CHUNK and row[0] != held[-1][0]:
                     yield out(held)
                     held, size = [], 0
                 if held and row == held[-1]:
@@ -194,38 +276,54 @@ def _compared(contexts: DataFrame, min_len: int, chunk: int = 1 << 19) -> DataFr
         if held:
             yield out(held)
 
-    c = contexts.where("not hot").select("g", "doc", "p", "x").repartition("g").sortWithinPartitions("g", "doc", "p", "x")
+    c = contexts.select("g", "doc", "p", "x").repartition("g").sortWithinPartitions("g", "doc", "p", "x")
     return c.mapInArrow(run, "doc long, p long, n long")
 
 
-def _hot(contexts: DataFrame, min_len: int) -> DataFrame:
-    """The same for minima with very many runs: one row for each window, dealt out by the window's hash."""
+def _dealt(contexts: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of hot minima dealt out by window hash: (repeated stretches, (g, doc, p, x) with a row for each window still to compare)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(2)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(3)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 texts = part.column(2).to_pylist()
-                hasher.load(np.frombuffer(b"".join(texts), np.uint8))
-                size = np.fromiter(map(len, texts), np.int64, len(texts))
-                n = size - min_len + 1
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                s = np.repeat(np.cumsum(size) - size, n) + inner
-                h = hasher.span(s, s + min_len).view(np.int64)
-                doc, p = np.repeat(part.column(0).to_numpy(), n), np.repeat(part.column(1).to_numpy(), n) + inner
-                yield _settled(h & ((1 << 62) - 1), h, doc, p, np.ones(len(h), np.int64))
-
-    return _judged(contexts.where("hot").select("doc", "p", "x").mapInArrow(run, _ROWS)).where("kind = 1").select("doc", "p", "n")
+                buf = np.frombuffer(b"".join(texts), np.uint8)
+                hasher.load(buf)
+                p0 = part.column(1).to_numpy()
+                start, doc, p, run = _windows(part.column(0).to_numpy(), p0, np.fromiter(map(len, texts), np.int64, len(texts)), min_len)
+                h = hasher.span(start, start + min_len).view(np.int64)
+                repeated = np.zeros(len(h), bool)
+                alike = np.flatnonzero(_alike(h))
+                if len(alike):
+                    repeated[alike] = lpf(buf, start[alike], np.full(len(alike), min_len), _places(doc[alike], p[alike])) >= min_len
+                d, q, m = merged(doc[repeated], p[repeated], np.ones(int(repeated.sum()), np.int64))
+                s = ~repeated
+                yield _batch(
+                    ["g", "salt", "doc", "p", "n", "p0"], np.concatenate([h[s], d * 31 + q]), np.concatenate([np.zeros(int(s.sum())), np.full(len(d), -1)]),
+                    np.concatenate([doc[s], d]), np.concatenate([p[s], q]), np.concatenate([np.ones(int(s.sum())), m]), np.concatenate([p0[run[s]], q]),
+                )
+
+    c = F.count("*").over(Window.partitionBy("g", "salt"))
+    rows = contexts.select("doc", "p", "x").mapInArrow(deal, _ROWS + ", p0 long").withColumn("c", c).where("salt < 0 or c > 1")
+    rows = written(rows, "dealt")
+    lists = rows.where("salt = 0").groupBy("doc", "p0").agg(F.collect_list(F.struct("g", "p")).alias("w"))
+    hot = contexts.select("doc", F.col("p").alias("p0"), "x").join(lists, ["doc", "p0"]).select("doc", "p0", "x", F.explode("w").alias("w"))
+    # a text of another row under the same doc_id may be shorter
+    bytes_ = F.expr(f"substring(x, cast(w.p - p0 as int) + 1, {min_len})")
+    left = hot.select("w.g", "doc", "w.p", bytes_.alias("x")).where(F.octet_length("x") == min_len)
+    return rows.where("salt < 0").select("doc", "p", "n"), left
 
 
 def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, k: int = K) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     docs = df.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     judged = written(_judged(_rows(docs, min_len, k)), "runs")
-    asked = judged.where("kind = 0").withColumn("hot", F.col("classes") > HOT)
-    contexts = written(_contexts(docs, asked, min_len), "contexts")
-    again = judged.where("kind = 1").select("doc", "p", "n").unionByName(_compared(contexts, min_len)).unionByName(_hot(contexts, min_len))
+    contexts = written(_contexts(docs, judged.where("kind = 0"), min_len), "contexts")
+    settled, dealt = _dealt(contexts.where("hot"), min_len)
+    again = judged.where("kind = 1").select("doc", "p", "n").unionByName(settled)
+    again = again.unionByName(_compared(contexts.where("not hot"), min_len)).unionByName(_compared(dealt, min_len))
     spans = again.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs")).withColumnRenamed("doc", "_d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from sightline.llm import suffix_dedup as D
@@ -29,6 +30,7 @@ def got(df):
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(D, "HOT", hot)
+    monkeypatch.setattr(D, "LOCAL_HOT", min(hot, D.LOCAL_HOT))
     rng = random.Random(hot)
     word = lambda: "".join(rng.choice("abcdé\0") for _ in range(rng.randrange(1, 7)))
     line = " ".join(word() for _ in range(60))
@@ -64,3 +66,35 @@ def test_query_over_table(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in D.op3_suffix_array_dedup(spark, sf_dir).collect()}
     assert out == brute(rows)
+
+
+def naive_lpf(suffixes, places):
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return [max((common(s, t) for t, q in zip(suffixes, places, strict=True) if q < p), default=0) for s, p in zip(suffixes, places, strict=True)]
+
+
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcd\0"])
+def test_lpf_equals_naive(alphabet):
+    rng = np.random.default_rng(len(alphabet))
+    for n in (1, 2, 3, 17, 150):
+        buf = rng.choice(np.frombuffer(alphabet, np.uint8), n + 40)
+        starts, depth, place = rng.integers(0, n, n), rng.integers(1, 40, n), rng.integers(0, n, n)
+        got = D.lpf(buf, starts, depth, place).tolist()
+        assert got == naive_lpf([buf[s : s + d].tobytes() for s, d in zip(starts, depth, strict=True)], place.tolist())
+
+
+def test_hot_line_is_spread(spark):
+    """A line in every text: no minimum keeps more rows under one key than a task may hold unspread."""
+    line = "the same words of a licence that every single text of this corpus has as its very first line, and"
+    rows = [(i, f"{hash((i, 1)) % 10**12} {line} {hash((i, 2)) % 10**12} " + " ".join(str(hash((i, j))) for j in range(12))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = df.select(df.doc_id.alias("doc"), "text").coalesce(1)
+    most = D._rows(docs, 100, 16).where("salt >= 0").groupBy("g", "salt").count().agg({"count": "max"}).first()[0]
+    assert most < D.LOCAL_HOT
+    assert got(df) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "x" * 350, 5, 6), (2, "y" * 350, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc long, runs int")
+    assert got(df) == brute([r[:2] for r in rows])

@@ -6,8 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Structured-data types that a site should have.
-RECOMMENDED_TYPES = ("Article", "BreadcrumbList", "FAQPage", "HowTo", "Organization", "Product")
-SUMMARY = r"(?iu)tl;?dr|summary|in short|key takeaways|кратко|итог|вывод|резюме"
+RECOMMENDED_TYPES = ("Organization", "Product", "FAQPage", "HowTo", "Article", "Review", "BreadcrumbList", "WebSite", "LocalBusiness")
+# Patterns of phrases that announce a summary.
+SUMMARY_PATTERNS = (
+    r"tl;?\s*dr",
+    r"key\s+takeaway",
+    r"in\s+short",
+    r"in\s+summary",
+    r"quick\s+answer",
+    r"short\s+answer",
+    r"коротко",
+    r"кратко",
+    r"итого",
+    r"ключевой\s+вывод",
+    r"резюме",
+)
+SUMMARY = "(?iu)" + "|".join(SUMMARY_PATTERNS)
 
 
 def plain(html: Column) -> Column:

@@ -13,6 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates large-star and small-star rounds (Kiveris et al., SoCC 2014): the number of rounds grows with the
     logarithm of the nodes, each round is two aggregations and two equi-joins, and no node's neighbours are ever gathered in one row.
+    Each round's minima are written before they are joined: read from a table, the neighbours of a node that most edges meet at are
+    split among tasks by adaptive execution, which a join right behind an aggregation on the same key never is.
     Self loops and repeated edges are allowed, null ends are dropped. An empty table gives an empty table.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
@@ -21,10 +23,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         # large star: every larger neighbour goes to the smallest of a node's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
         # small star: every smaller neighbour, and the node, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
         # the sum of a star forest's edges is fixed: two rounds with the same digest are two equal edge sets

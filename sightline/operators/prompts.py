@@ -50,12 +50,11 @@ ASSISTANTS = (("chat", "You are a helpful assistant."), ("search", "Answer with
 
 
 def pivots(prompts: DataFrame) -> DataFrame:
-    """One row per swap whose word a prompt holds: the first occurrence as a whole word is replaced."""
+    """One row per swap whose word a prompt holds, inside other words too: the first occurrence is replaced; swaps that change nothing give no row."""
     swaps = F.array(*[F.struct(F.lit(a).alias("word"), F.lit(b).alias("swap")) for a, b in PIVOTS])
-    bounded = lambda w: F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))
-    d = prompts.select("prompt_id", "prompt", F.explode(F.filter(swaps, lambda s: F.rlike(F.col("prompt"), bounded(s["word"])))).alias("s"))
-    first = F.regexp_replace("prompt", F.concat(F.lit(r"(?is)^(.*?)\b"), F.col("s.word"), F.lit(r"\b")), F.concat(F.lit("$1"), F.col("s.swap")))
-    return d.select("prompt_id", F.col("s.swap").alias("swap"), first.alias("prompt"))
+    d = prompts.select("prompt_id", "prompt", F.explode(F.filter(swaps, lambda s: F.contains(F.lower("prompt"), F.lower(s["word"])))).alias("s"))
+    first = F.regexp_replace("prompt", F.concat(F.lit(r"(?is)^(.*?)\Q"), F.col("s.word"), F.lit(r"\E")), F.concat(F.lit("$1"), F.col("s.swap")))
+    return d.withColumn("swapped", first).where("swapped <> prompt").select("prompt_id", F.col("s.swap").alias("swap"), F.col("swapped").alias("prompt"))
 
 
 def conversational(prompts: DataFrame) -> DataFrame:

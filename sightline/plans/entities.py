@@ -65,11 +65,11 @@ def name_counts(spark, sf_dir):
 
 
 def vector_pairs(spark, sf_dir):
-    """Queries (every 50th vector) against the vectors of their own label: neighbours within distance 0.6. vector_search has those of all labels."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"), F.col("label").alias("ql"))
-    d = q.join(v, F.col("ql") == F.col("label")).where("q <> vec_id").withColumn("distance", F.round(E.cosine(F.col("e"), F.col("embedding")), 6))
-    return d.where("distance <= 0.6").select("q", "vec_id", "distance")
+    """Neighbours of every 50th vector with both labels, of which either may be null: (q, vec_id, distance, same_label)."""
+    label = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    of_q = label.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"))
+    d = vector_search(spark, sf_dir).join(label, "vec_id").join(of_q, "q")
+    return d.select("q", "vec_id", "distance", F.coalesce(F.col("ql") == F.col("label"), F.lit(False)).alias("same_label"))
 
 
 def vector_search(spark, sf_dir):
@@ -217,10 +217,14 @@ _EXACT = "SELECT x.name AS a, y.name AS b FROM forms x JOIN forms y ON x.bare =
 _DIST = "round(1 - list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]) * list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])), 6)"
 _PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '^\s+|\s+$', '', 'g'))"""
 _FIRST = r"""regexp_extract(regexp_extract(html, '(?is)<article[^>]*>(.*)', 1), '(?is)<p(?:\s[^>]*)?>(.*?)(?:</?p[\s>]|</?(?:article|div|footer|body)[\s>]|$)', 1)"""
-_PAGE = f"""WITH a AS (SELECT page_id, url, left({_PLAIN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 200) AS title, length({_PLAIN.format(_FIRST)})::BIGINT AS first_chars,
- regexp_matches(left({_PLAIN.format("html")}, 3000), '(?i)tl;?dr|summary|in short|key takeaways|кратко|итог|вывод|резюме') AS has_summary FROM pages),
+_PAGE = rf"""WITH a AS (SELECT page_id, url, left({_PLAIN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 200) AS title, length({_PLAIN.format(_FIRST)})::BIGINT AS first_chars,
+ regexp_matches(left({_PLAIN.format("html")}, 3000), '(?i)tl;?\s*dr|key\s+takeaway|in\s+short|in\s+summary|quick\s+answer|short\s+answer|коротко|кратко|итого|ключевой\s+вывод|резюме') AS has_summary FROM pages),
 s AS (SELECT *, (CASE WHEN first_chars = 0 THEN 0 WHEN first_chars < 50 THEN 30 WHEN first_chars <= 300 THEN 60 WHEN first_chars <= 500 THEN 40 ELSE 20 END + CASE WHEN has_summary THEN 40 ELSE 0 END)::DOUBLE AS score FROM a)
 """
+_TYPES = "['Organization', 'Product', 'FAQPage', 'HowTo', 'Article', 'Review', 'BreadcrumbList', 'WebSite', 'LocalBusiness']"
+# every string behind an @type, or first in its array, inside JSON-LD blocks
+_LD = r""", l AS (SELECT page_id, flatten(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<script[^>]+ld\+json[^>]*>(.*?)</script>', 1), lambda b: regexp_extract_all(b, '"@type"\s*:\s*\[?\s*"([^"]+)"', 1))) AS types FROM pages)
+"""
 _SITE = r"regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\.', '')"
 
 ORACLES = {
@@ -228,16 +232,16 @@ ORACLES = {
     "name_pairs_exact": _FORMS + _EXACT,
     "name_components": _FORMS + f", e AS ({_EXACT}), g AS (SELECT name, bare FROM forms WHERE bare <> '') SELECT component, members FROM (SELECT bare, min(name) AS component, count(*) AS members FROM g GROUP BY 1) WHERE members > 1",
     "name_counts": f"WITH names AS ({_NAMES}) SELECT name, sum(freq)::BIGINT AS freq FROM names GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
-    "vector_pairs": f"SELECT x.vec_id AS q, y.vec_id, {_DIST} AS distance FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 AND {_DIST} <= 0.6",
+    "vector_pairs": f"SELECT x.vec_id AS q, y.vec_id, {_DIST} AS distance, coalesce(x.label = y.label, false) AS same_label FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 AND {_DIST} <= 0.6",
     "vector_search": f"SELECT x.vec_id AS q, y.vec_id, {_DIST} AS distance FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 AND {_DIST} <= 0.6",
     "vector_means": "SELECT label, place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INT AS place FROM embeddings) GROUP BY ALL",
     "resilience_expand": "SELECT sha256(p_partkey::VARCHAR || '|' || r.i::VARCHAR)[1:16] AS request_id, p_partkey AS query_id, r.i::INT AS run, md5('session|' || p_partkey::VARCHAR)[1:12] AS session_id FROM part, range(0, 3) AS r(i) WHERE p_partkey % 10 <> 0",
     "page_answer_first": _PAGE + "SELECT page_id, title, first_chars, has_summary, score FROM s",
-    "site_rollup": _PAGE + f"SELECT {_SITE} AS site, count(*) AS pages, round(avg(score), 2) AS score, 'Article,BreadcrumbList,FAQPage,HowTo,Organization,Product' AS missing FROM s GROUP BY 1",
+    "site_rollup": _PAGE + _LD + f"SELECT {_SITE} AS site, count(*) AS pages, round(avg(score), 2) AS score, array_to_string(list_sort(list_filter({_TYPES}, lambda k: NOT list_contains(coalesce(flatten(list(types)), []), k))), ',') AS missing FROM s JOIN l USING (page_id) GROUP BY 1",
     "page_flags": r"""SELECT page_id, regexp_matches(html, '(?i)rel=["'']?author|itemprop=["'']?author|class=["''][^"'']*author') AS has_author, len(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']?https?://')) >= 3 AS has_sources,
  regexp_matches(html, '(?i)<meta[^>]+name=["'']?robots["'']?[^>]*noindex') AS noindex, regexp_matches(html, '(?i)<time[\s>]|article:published_time|dateModified') AS has_date,
  len(regexp_extract_all(html, '(?i)<script[^>]+ld\+json'))::BIGINT AS ld_blocks, len(regexp_extract_all(html, '(?i)<a[\s>]'))::BIGINT AS links FROM pages""",
-    "tag_links": "WITH l AS (SELECT p_partkey, 'class' AS type, CASE p_partkey % 3 WHEN 0 THEN 'thematic' WHEN 1 THEN 'branded' END AS tag FROM part UNION ALL SELECT p_partkey, 'subtype', CASE p_partkey % 4 WHEN 1 THEN 'price' WHEN 2 THEN 'review' WHEN 3 THEN 'howto' END FROM part) SELECT type, tag, count(DISTINCT p_partkey) AS links FROM l WHERE tag IS NOT NULL GROUP BY ALL",
+    "tag_links": "WITH l AS (SELECT p_partkey, 'class' AS type, CASE WHEN p_partkey % 3 = 0 THEN 'thematic' WHEN p_partkey % 3 = 1 THEN 'branded' WHEN p_partkey % 6 = 2 THEN 'seasonal' END AS tag FROM part UNION ALL SELECT p_partkey, 'subtype', CASE p_partkey % 4 WHEN 1 THEN 'price' WHEN 2 THEN 'review' WHEN 3 THEN 'howto' END FROM part) SELECT type, tag, count(DISTINCT p_partkey) AS links FROM l WHERE tag IS NOT NULL GROUP BY ALL",
     "prompt_matrix": """WITH c AS (SELECT DISTINCT p_type AS category FROM part WHERE p_partkey % 7 > 1 AND p_type <> ''), g AS (SELECT category, persona, intent, template, competitor FROM c, unnest(['buyer', 'expert', 'novice']) AS p(persona),
  (VALUES ('discovery', 'Which {category} is best for a {persona}?', ''), ('comparison', 'Compare {category} with {competitor} for a {persona}', 'Acme'), ('comparison', 'Compare {category} with {competitor} for a {persona}', 'Globex'), ('price', 'How much does {category} cost?', '')) AS t(intent, template, competitor))
 SELECT md5(concat_ws('|', persona, intent, category, competitor))[1:12] AS prompt_id, persona, intent, category, replace(replace(replace(template, '{category}', category), '{persona}', persona), '{competitor}', competitor) AS prompt FROM g""",
@@ -247,6 +251,6 @@ SELECT md5(concat_ws('|', persona, intent, category, competitor))[1:12] AS promp
 SELECT answer_id, bool_or(brand_mentioned) AS brand_mentioned, coalesce(array_to_string(list_sort(list(DISTINCT key) FILTER (key <> '')), ','), '') AS competitors FROM k GROUP BY 1""",
 }
 _PROMPTS = "WITH p AS (" + ORACLES["prompt_matrix"] + ") "
-ORACLES["prompt_pivots"] = _PROMPTS + r"""SELECT prompt_id, swap, regexp_replace(prompt, '(?i)\b' || word || '\b', swap) AS prompt FROM p, (VALUES ('best', 'most reliable'), ('best', 'cheapest'), ('cost', 'take to set up')) AS s(word, swap) WHERE regexp_matches(prompt, '(?i)\b' || word || '\b')"""
+ORACLES["prompt_pivots"] = _PROMPTS + r"""SELECT prompt_id, swap, regexp_replace(prompt, '(?i)' || word, swap) AS prompt FROM p, (VALUES ('best', 'most reliable'), ('best', 'cheapest'), ('cost', 'take to set up')) AS s(word, swap) WHERE contains(lower(prompt), word) AND regexp_replace(prompt, '(?i)' || word, swap) <> prompt"""
 ORACLES["prompt_openings"] = _PROMPTS + "SELECT prompt_id, opening || lower(left(prompt, 1)) || substr(prompt, 2) AS prompt FROM p, (VALUES ('Hi, '), ('Quick question: '), ('I am new to this. ')) AS o(opening)"
 ORACLES["prompt_requests"] = _PROMPTS + "SELECT prompt_id || ':' || assistant AS request_id, assistant, system, prompt FROM p, (VALUES ('chat', 'You are a helpful assistant.'), ('search', 'Answer with sources.'), ('brief', 'Answer in one sentence.')) AS a(assistant, system)"

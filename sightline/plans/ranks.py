@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.operators import ranks as R
@@ -34,13 +35,13 @@ def rank_table(spark, sf_dir):
 
 def url_keywords(spark, sf_dir):
     w = facts(spark, sf_dir, "web").where(F.col("page_url") == "https://site.example/p7").groupBy("keyword_id").agg(F.sum("impressions").alias("impressions"))
-    return w.orderBy(F.desc("impressions"), "keyword_id").limit(50)
+    return w.orderBy(F.desc("impressions"), "keyword_id")
 
 
 def page_queries(spark, sf_dir):
-    w = facts(spark, sf_dir, "web").groupBy("page_url", "query_text").agg(F.sum("impressions").alias("impressions"))
-    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("impressions")).alias("i"), "query_text"))), 1, 5)
-    return w.groupBy("page_url").agg(F.array_join(F.transform(top, lambda x: x["query_text"]), "|").alias("top_queries"), F.count("*").alias("queries"))
+    """Every query of every page with its place by impressions within the page."""
+    w = facts(spark, sf_dir, "web").groupBy("page_url", "query_text").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"))
+    return w.withColumn("place", F.row_number().over(Window.partitionBy("page_url").orderBy(F.desc("impressions"), "query_text")))
 
 
 def content_gap(spark, sf_dir):
@@ -112,8 +113,8 @@ ORACLES = {
     "rank_table": cte("kw", "ranks", "web") + f""", newest AS (SELECT keyword_id, day, {_POS} AS position, found_url FROM ranks QUALIFY row_number() OVER (PARTITION BY keyword_id ORDER BY day DESC, engine DESC, version DESC) = 1),
 recent AS (SELECT * FROM web WHERE day BETWEEN DATE '{ASOF}' - 7 AND DATE '{ASOF}'), sums AS ({_WEIGHTED.format("recent")})
 SELECT keyword_id, keyword, day, position, rtrim(found_url, '/') = rtrim(target_url, '/') AS url_match, impressions, clicks, avg_position, ctr FROM kw LEFT JOIN newest USING (keyword_id) LEFT JOIN sums USING (keyword_id) WHERE active""",
-    "url_keywords": cte("web") + "SELECT keyword_id, sum(impressions)::BIGINT AS impressions FROM web WHERE page_url = 'https://site.example/p7' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
-    "page_queries": cte("web") + ", w AS (SELECT page_url, query_text, sum(impressions) AS i FROM web GROUP BY ALL) SELECT page_url, array_to_string(list(query_text ORDER BY i DESC, query_text)[1:5], '|') AS top_queries, count(*) AS queries FROM w GROUP BY 1",
+    "url_keywords": cte("web") + "SELECT keyword_id, sum(impressions)::BIGINT AS impressions FROM web WHERE page_url = 'https://site.example/p7' GROUP BY 1 ORDER BY 2 DESC, 1",
+    "page_queries": cte("web") + "SELECT page_url, query_text, sum(impressions)::BIGINT AS impressions, sum(clicks)::BIGINT AS clicks, row_number() OVER (PARTITION BY page_url ORDER BY sum(impressions) DESC, query_text)::INT AS place FROM web GROUP BY page_url, query_text",
     "chart_spine": cte("ranks") + f""", r AS (SELECT * FROM ranks WHERE day BETWEEN DATE '{ASOF}' - 30 AND DATE '{ASOF}'), spine AS (SELECT engine, (DATE '{ASOF}' - 30 + i::INT)::DATE AS day FROM (SELECT DISTINCT engine FROM r), range(0, 31) AS x(i)),
 best AS (SELECT day, engine, min({_POS}) AS best, count(*) AS checks FROM r GROUP BY ALL) SELECT day, engine, best, checks FROM spine LEFT JOIN best USING (day, engine)""",
     "dashboard_trend": cte("kw", "ranks") + f""", k AS (SELECT project_id, count(*) FILTER (active) AS keyword_count FROM kw GROUP BY 1),

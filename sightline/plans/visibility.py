@@ -48,7 +48,7 @@ def details_page(spark, sf_dir):
 
 def recent_answers(spark, sf_dir):
     d = joined(spark, sf_dir).orderBy(F.desc("day"), F.desc("answer_id"), "query_id").limit(20)
-    return d.select("answer_id", "day", "provider", F.left("query_text", F.lit(12)).alias("query_text"))
+    return d.select("answer_id", "day", "provider", F.left("query_text", F.lit(80)).alias("query_text"))
 
 
 def export_rows(spark, sf_dir):
@@ -61,7 +61,7 @@ def export_rows(spark, sf_dir):
 
 
 def custom_class_queries(spark, sf_dir):
-    q = facts(spark, sf_dir, "q").where(~F.col("query_class").isin("thematic"))
+    q = facts(spark, sf_dir, "q").where(~F.col("query_class").isin("thematic", "branded"))
     return q.select("query_id", "query_class")
 
 
@@ -168,10 +168,10 @@ SELECT 'all' AS kind, '*' AS value, count(*) AS total, count(*) FILTER (active)
 UNION ALL SELECT 'subtype', subtype, count(*), count(*) FILTER (active) FROM x GROUP BY 2 UNION ALL SELECT 'scenario', scenario, count(*), count(*) FILTER (active) FROM x GROUP BY 2""",
     "effective_sentiments": cte("snap") + f"SELECT coalesce({_SENT}, 'skip') AS sentiment, provider, count(*) AS n FROM snap GROUP BY ALL",
     "details_page": cte("sq") + "SELECT answer_id, query_id, day, provider, mention_type, query_text FROM sq WHERE project_id = 2 ORDER BY day DESC, provider, answer_id, query_id LIMIT 20 OFFSET 40",
-    "recent_answers": cte("sq") + "SELECT answer_id, day, provider, left(query_text, 12) AS query_text FROM sq ORDER BY day DESC, answer_id DESC, query_id LIMIT 20",
+    "recent_answers": cte("sq") + "SELECT answer_id, day, provider, left(query_text, 80) AS query_text FROM sq ORDER BY day DESC, answer_id DESC, query_id LIMIT 20",
     "export_rows": cte("snap") + f"""SELECT answer_id, query_id, day, provider, CASE WHEN no_map THEN '' ELSE replace(to_json(list_sort(list_filter([{_EACH}], lambda x: x IS NOT NULL)))::VARCHAR, ', ', ',') END AS competitors,
   replace(to_json(list_filter([u1, u2, u3], lambda x: x IS NOT NULL))::VARCHAR, ', ', ',') AS urls, CASE WHEN tokens = 0 THEN '' ELSE tokens::VARCHAR END AS tokens, CASE WHEN cost_usd = 0 THEN '' ELSE printf('%.6f', round(cost_usd, 6)) END AS cost FROM snap""",
-    "custom_class_queries": cte("q") + "SELECT query_id, query_class FROM q WHERE query_class NOT IN ('thematic')",
+    "custom_class_queries": cte("q") + "SELECT query_id, query_class FROM q WHERE query_class NOT IN ('thematic', 'branded')",
     "sub_brand_mentions": cte("mentions") + ", g AS (SELECT string_split(competitor, '::')[1] AS root, competitor, count(*) AS own FROM mentions GROUP BY ALL) SELECT root, competitor, own, (sum(own) OVER (PARTITION BY root))::BIGINT AS with_subs FROM g",
     "dashboard_totals": cte("sq") + f"SELECT project_id, count(DISTINCT CASE WHEN active THEN query_id END) AS active_queries, count(*) AS checks, {_RATE} AS mention_rate, round(coalesce(sum(cost_usd), 0.0), 4) AS cost, max(day) AS last_day FROM sq GROUP BY 1",
     "categories": cte("q") + "SELECT DISTINCT category FROM q WHERE category IS NOT NULL AND category <> ''",

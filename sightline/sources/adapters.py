@@ -40,7 +40,7 @@ QUERY = {
     "project_id": "1 + p_size % 4",
     "query_type": "CASE p_partkey % 5 WHEN 0 THEN 'comparison' WHEN 1 THEN 'recommendation' WHEN 2 THEN 'brand_check' WHEN 3 THEN 'custom' ELSE 'other' END",
     "category": "CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_type END",
-    "query_class": "CASE p_partkey % 3 WHEN 0 THEN 'thematic' WHEN 1 THEN 'branded' ELSE NULL END",
+    "query_class": "CASE p_partkey % 6 WHEN 0 THEN 'thematic' WHEN 1 THEN 'branded' WHEN 2 THEN 'seasonal' WHEN 3 THEN 'thematic' WHEN 4 THEN 'branded' ELSE NULL END",
     "subtype": "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'price' WHEN 2 THEN 'review' ELSE 'howto' END",
     "active": "p_partkey % 10 <> 0",
     "query_text": "p_name || ' vs ' || p_brand",

@@ -1,4 +1,4 @@
-"""Tables cut from their lineage in the folder that driver and executors share."""
+"""Tables cut from their lineage in the folder that driver and executors share. The folder belongs to the session; whoever sets it clears it."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one of this machine: on a local master only, where driver and executors are one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sightline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sightline-{uuid.uuid4().hex}"

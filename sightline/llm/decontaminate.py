@@ -63,28 +63,45 @@ def shingles(words: np.ndarray, n: int = SEED) -> np.ndarray:
     return (out ^ (out >> np.uint64(31))).view(np.int64)
 
 
+def _row(above: np.ndarray, same: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The next row of the Smith-Waterman matrix."""
+    t = np.zeros(len(above), np.int32)
+    np.maximum(above[1:] + GAP, above[:-1] + np.where(same, MATCH, MISMATCH), out=t[1:])
+    np.maximum(t, 0, out=t)
+    return np.maximum.accumulate(t - GAP * at) + GAP * at  # gaps along the row at once
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman over words: (score, matched words, first and last + 1 word of the passage) of the best local alignment."""
+    """Smith-Waterman over words: (score, matched words, first and last + 1 word of the passage) of the best local alignment.
+
+    One row is held while the end is looked for. An alignment that ends there with a positive score has no more gaps than its matches pay for,
+    so it lies in the last (1 + MATCH / -GAP) * item words before the end, and only those are traced back: memory is in proportion to the passage,
+    however long a text quotes an item for.
+    """
     m, n = len(item), len(passage)
-    h = np.zeros((m + 1, n + 1), np.int32)
-    at = np.arange(n + 1, dtype=np.int32)
-    same = item[:, None] == passage[None, :]
-    for i in range(1, m + 1):
-        t = np.zeros(n + 1, np.int32)
-        np.maximum(h[i - 1, 1:] + GAP, h[i - 1, :-1] + np.where(same[i - 1], MATCH, MISMATCH), out=t[1:])
-        np.maximum(t, 0, out=t)
-        h[i] = np.maximum.accumulate(t - GAP * at) + GAP * at  # gaps along the row at once
-    i, j = divmod(int(h.argmax()), n + 1)
-    score, end, matched = int(h[i, j]), j, 0
-    while i and j and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same[i - 1, j - 1] else MISMATCH):
-            matched += bool(same[i - 1, j - 1])
+    h, at = np.zeros(n + 1, np.int32), np.arange(n + 1, dtype=np.int32)
+    score, last, end = 0, 0, 0
+    for i in range(m):
+        h = _row(h, item[i] == passage, at)
+        j = int(h.argmax())
+        if h[j] > score:
+            score, last, end = int(h[j]), i + 1, j
+    first = max(0, end - last * (1 + MATCH // -GAP))
+    part = passage[first:end]
+    near, at = np.zeros((last + 1, len(part) + 1), np.int32), np.arange(len(part) + 1, dtype=np.int32)
+    for i in range(last):
+        near[i + 1] = _row(near[i], item[i] == part, at)
+    i, j, matched = last, len(part), 0
+    while i and j and near[i, j] > 0:
+        same = item[i - 1] == part[j - 1]
+        if near[i, j] == near[i - 1, j - 1] + (MATCH if same else MISMATCH):
+            matched += bool(same)
             i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
+        elif near[i, j] == near[i - 1, j] + GAP:
             i -= 1
         else:
             j -= 1
-    return score, matched, j, end
+    return score, matched, first + j, end
 
 
 def _passages(hits: np.ndarray, n_words: int, reach: int) -> list[tuple[int, int]]:

@@ -7,8 +7,8 @@ sequences; each shard is written as one file of equally long records in slot ord
 (slot // SHARD, slot % SHARD) alone.
 
 Defined results: null and empty texts give their END token only. Repeated rows are tokenised as often as they come. Other
-columns are ignored. An empty table gives no sequence. A very long text is encoded in pieces that end at a line or a space, so
-memory follows the piece. Token ids need SEQ_LEN * 2 bytes a record up to 65,536 ids.
+columns are ignored. An empty table gives no sequence. A very long text is encoded in pieces that end where the vocabulary's pattern ends a
+word, so its ids are those of the whole text. Token ids need SEQ_LEN * 2 bytes a record up to 65,536 ids.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,14 +42,18 @@ def load(path: str = VOCABULARY):
 
 
 def pieces(text: str) -> Iterator[str]:
-    """A text in parts; the pattern never joins a letter to what follows a line end and precedes a word, where parts end."""
+    """A text in parts that are encoded alike alone and together: the pattern's own matches, gathered up to _PIECE characters.
+
+    A single match longer than that (a run of letters without a space) is a part by itself, never cut.
+    """
+    if len(text) <= _PIECE:
+        yield text
+        return
     at = 0
-    while len(text) - at > _PIECE:
-        cut = text.rfind("\n", at + 1, at + _PIECE)
-        cut = cut if cut > at else text.rfind(" ", at + 1, at + _PIECE)
-        cut = cut if cut > at else at + _PIECE
-        yield text[at:cut]
-        at = cut
+    for m in regex.finditer(PATTERN, text):
+        if m.end() - at > _PIECE and m.start() > at:
+            yield text[at : m.start()]
+            at = m.start()
     yield text[at:]
 
 
@@ -127,8 +132,10 @@ def materialise(df: DataFrame, path: str, text: str = "text", vocabulary: str =
         spark.createDataFrame([], out.schema).write.mode("overwrite").parquet(path)
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    return spark.read.schema("slot long, n_tokens int, n_ends int, tokens binary, shard int").parquet(path)
+def read_shards(spark, path: str, start: int = 0, shard: int = SHARD) -> DataFrame:
+    """Stored records from slot start on: a run resumes by reading only the shards that are left (folders before them are pruned)."""
+    rows = spark.read.schema("slot long, n_tokens int, n_ends int, tokens binary, shard int").parquet(path)
+    return rows.where((F.col("shard") >= start // shard) & (F.col("slot") >= start)) if start else rows
 
 
 def token_table(df: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -22,6 +23,38 @@ def test_align():
         assert got[0] == brute_align(a, b)
 
 
+def test_long_passage_takes_memory_in_proportion():
+    """A text that quotes an item again and again is one passage; a whole matrix would take 200 x 400,000 cells."""
+    item = np.arange(200)
+    passage = np.concatenate([np.tile(item[:150], 2000), np.arange(1000, 101_000), item[:60], [7], item[61:]])
+    tracemalloc.start()
+    got = D.align(item, passage)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == (397, 199, len(passage) - 200, len(passage)) and peak < 40_000_000
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with every 3rd to 8th word changed, against alignment of every item with every text; and texts of the same words in another order."""
+    rng = random.Random(9)
+    items = [[f"{k}w{i}" for i in range(40)] for k in range(6)]
+    docs, want = [], set()
+    for d in range(120):
+        item, every = items[d % 6], 3 + d % 6
+        copy = [f"x{d}" if i % every == every - 1 else w for i, w in enumerate(item)]
+        if d % 7 == 0:
+            copy = rng.sample(item, len(item))
+        docs.append([f"f{d}_{i}" for i in range(30)] + copy + ["end"])
+        for i, x in enumerate(items):
+            if D.align(np.array([hash(w) for w in x]), np.array([hash(w) for w in docs[-1]]))[1] / len(x) >= 0.8:
+                want.add((d, i))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench).collect()}
+    assert got <= want and {(d, i) for d, i in want if 3 + d % 6 > 5} <= got  # a changed word in five leaves no five-word seed
+    assert len(got) >= 0.6 * len(want)
+
+
 def test_word_hashes():
     h = Hasher(3)
     a, b = D.word_hashes("The “Quick” brown—fox, É!", h), D.word_hashes("the quick brown fox é", h)

@@ -3,7 +3,7 @@
 The rates nearest to 1 (in relative entropy) that give every source its target of words are exponentially tilted by document size,
 rate = min(MAX_RATE, exp(lambda * size / scale)), one multiplier a source. The multipliers solve a convex dual; it is solved for all
 sources at once by Newton steps, each one aggregation over the (source, size) histogram, with bisection where a step leaves the
-bracket. Rates depend on source and size only, so they are rounded to whole copies per histogram bin, largest sizes first,
+bracket. Its sums are decimals, so reruns agree whatever order rows come in. Rates depend on source and size only, so they are rounded to whole copies per histogram bin, largest sizes first,
 carrying what rounding leaves to the next bin: a source ends within about its smallest document of its target. Within a bin the
 copies that do not divide evenly go to the documents that come first by a hash of their id.
 
@@ -48,9 +48,14 @@ def _rate(lam: Column, size: Column, scale: Column, max_rate: float) -> Column:
     return F.least(F.lit(float(max_rate)), F.exp(F.least(lam * size / scale, F.lit(50.0))))
 
 
+def _exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of its rows: decimals of twelve places are added, not doubles."""
+    return F.sum(value.cast("decimal(28,12)")).cast("double")
+
+
 def solve(hist: DataFrame, goal: DataFrame, max_rate: float = MAX_RATE, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
     """(sk, scale, lam): multipliers by distributed Newton iterations over hist (sk, size, n); goal has (sk, target)."""
-    stats = hist.groupBy("sk").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("all"), F.sum(F.col("n") * F.col("size") * F.col("size")).cast("double").alias("sq"))
+    stats = hist.groupBy("sk").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("all"), F.sum((F.col("n") * F.col("size")).cast("decimal(24,0)") * F.col("size")).cast("double").alias("sq"))
     inf = float("inf")
     start = stats.join(goal, "sk").select(
         "sk", F.coalesce(F.try_divide("sq", "all"), F.lit(1.0)).alias("scale"), F.col("target"),
@@ -61,7 +66,7 @@ def solve(hist: DataFrame, goal: DataFrame, max_rate: float = MAX_RATE, toleranc
         rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), max_rate)
         words = F.col("n") * F.col("size")
         free = F.when(rate < max_rate, words * rate * F.col("size") / F.col("scale")).otherwise(0.0)
-        step = hist.join(state, "sk").groupBy("sk", "scale", "target", "lam", "lo", "hi").agg(F.sum(words * rate).alias("got"), F.sum(free).alias("slope"))
+        step = hist.join(state, "sk").groupBy("sk", "scale", "target", "lam", "lo", "hi").agg(_exact_sum(words * rate).alias("got"), _exact_sum(free).alias("slope"))
         off = F.col("got") - F.col("target")
         done = (F.col("lam") == inf) | (F.abs(off) <= F.col("target") * tolerance) | (F.col("target") <= 0)
         lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
@@ -102,17 +107,18 @@ def mix(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "s
     bins = hist.join(solved, "sk").select("sk", "size", "n", _rate(F.col("lam"), F.greatest("size", F.lit(1)), F.col("scale"), max_rate).alias("rate"), F.lit(max_rate).alias("top"))
     bins = bins.groupBy("sk").applyInPandas(_round_bins, "sk string, size long, n long, copies long").join(goal, "sk")
     own = ["size", "source_size", "target", "copies", "taken"]
-    d = df.withColumns({"_size": counted, "_sk": key, "_h": F.xxhash64(F.col(doc).cast("string"))}).drop(*own).withColumnRenamed("_size", "size").withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    row = F.struct(*[F.col(c) for c in df.columns if c not in own]).alias("_row")
+    d = df.select(row, counted.alias("size"), key.alias("_sk"), F.xxhash64(F.col(doc).cast("string")).alias("_h"), F.col(doc).alias("_doc")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
     # documents of a bin that come in earlier buckets
     buckets = d.groupBy("_sk", "size", "_b").agg(F.count("*").alias("nb"))
     before = F.sum("nb").over(Window.partitionBy("_sk", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.withColumn("before", F.coalesce(before, F.lit(0))).withColumnsRenamed({"_sk": "sk", "size": "bin", "_b": "b"})
     buckets = buckets.join(bins.withColumnRenamed("size", "bin"), ["sk", "bin"])
-    at = F.row_number().over(Window.partitionBy("_sk", "size", "_b").orderBy("_h", F.col(doc)))
+    at = F.row_number().over(Window.partitionBy("_sk", "size", "_b").orderBy("_h", "_doc"))
     d = d.withColumn("_at", at).join(buckets, (F.col("_sk") == F.col("sk")) & (F.col("size") == F.col("bin")) & (F.col("_b") == F.col("b")))
     more = F.when(F.col("before") + F.col("_at") <= F.col("copies") % F.col("n"), 1).otherwise(0)
     d = d.withColumn("copies", (F.floor(F.col("copies") / F.col("n")) + more).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return d.drop("_sk", "_h", "_b", "_at", "sk", "bin", "b", "nb", "before", "n")
+    return d.select("_row.*", *own)
 
 
 def mixed_rows(df: DataFrame, **names) -> DataFrame:

@@ -47,3 +47,11 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert [(r["taken"], r["target"]) for r in M.mix(df).collect()] == [(0, 0.0)]
     assert M.mix(df.where("false")).collect() == []
+
+
+def test_clashing_columns_and_row_order(spark):
+    """Columns named like the operator's own and its inner ones; any order of rows and partitions gives the same mix."""
+    rows = [(i, "w " * (i % 37 + 1), f"s{i % 3}", -i, f"x{i}", i, i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long, b string, copies long, bin long, _h long")
+    runs = [{r["doc_id"]: (r["n"], r["b"], r["bin"], r["_h"], r["taken"], r["copies"]) for r in M.mix(d).collect()} for d in (df, df.orderBy("b").repartition(7))]
+    assert runs[0] == runs[1] and all(v[:4] == (-i, f"x{i}", i, i) for i, v in runs[0].items())

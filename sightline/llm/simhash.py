@@ -192,6 +192,7 @@ def components(docs: DataFrame) -> DataFrame:
             for k, (f, o) in enumerate([(F.min, F.col("fp")), (F.max, F.col("fp")), (F.min, F.xxhash64("fp")), (F.max, F.xxhash64("fp"))])
         ],
     )
+    centres = written(centres, "centres")  # also so that a bucket with very many members can be split in the join below
     counts = centres.select("key", "n").collect()  # at most PARTS * 2^WIDTH rows, whatever the corpus holds
     hist = np.zeros((PARTS, 1 << WIDTH))
     for r in counts:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.sources.shared import shared_dir
+from sightline.sources.shared import shared_dir, written
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,7 +42,8 @@ def write_archive(df: DataFrame, path: str, page: str = "page_id", url: str = "u
         F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")
     ).withColumn("strong", F.sha2("payload", 256))
     sums = rows.select("page_id", "url", "strong", base32(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
-    owners = sums.where(F.col("bytes") >= min_bytes).groupBy("strong").agg(F.min("page_id").alias("owner"))
+    # written, so that the join can split a digest that very many pages have
+    owners = written(sums.where(F.col("bytes") >= min_bytes).groupBy("strong").agg(F.min("page_id").alias("owner")), "owners")
     r = sums.join(owners, "strong", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id"))
     uri = F.replace(F.replace(F.coalesce("url", F.lit("urn:unknown")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))

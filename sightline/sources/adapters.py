@@ -84,8 +84,18 @@ CALL = {
     "latency_ms": "CAST(floor(value * 7) AS BIGINT) % 3000",
     "cost_micros": "CAST(floor(value * 10) AS BIGINT)",
 }
+ENTITY = {
+    "entity_id": "s_suppkey",
+    "project_id": "1 + s_nationkey % 4",
+    "name": "s_name",
+    "status": "CASE s_suppkey % 6 WHEN 0 THEN 'rejected' WHEN 1 THEN 'promoted' WHEN 2 THEN 'confirmed' ELSE 'pending' END",
+    "alias_of": "CASE WHEN s_suppkey % 7 = 4 THEN s_suppkey - 1 END",
+    "mentions": "CAST(floor(abs(s_acctbal)) AS BIGINT) % 50",
+    "last_seen": "DATE '2024-01-01' + CAST(s_suppkey % 30 AS INT)",
+    "suggested_parent": "CASE WHEN s_suppkey % 5 = 0 THEN 'Acme' END",
+}
 
-_SOURCE = {"snap": (SNAP, "lineitem"), "q": (QUERY, "part"), "kw": (KEYWORD, "customer"), "ranks": (RANK, "events"), "web": (WEB, "events"), "calls": (CALL, "events")}
+_SOURCE = {"snap": (SNAP, "lineitem"), "q": (QUERY, "part"), "kw": (KEYWORD, "customer"), "ranks": (RANK, "events"), "web": (WEB, "events"), "calls": (CALL, "events"), "ents": (ENTITY, "supplier")}
 
 
 def _spark_form(expr: str) -> str:

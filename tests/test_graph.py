@@ -36,7 +36,14 @@ def brute(edges):
     return {x: find(x) for x in list(up)}
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 19])
 @pytest.mark.parametrize("case", CASES)
-def test_components(spark, case):
-    got = [tuple(r) for r in connected_components(spark.createDataFrame(CASES[case], "a long, b long")).collect()]
+def test_components(spark, case, block):
+    got = [tuple(r) for r in connected_components(spark.createDataFrame(CASES[case], "a long, b long"), block=block).collect()]
     assert sorted(got) == sorted(brute(CASES[case]).items())
+
+
+def test_names_as_nodes(spark):
+    edges = [("ё", "я"), ("я", "z"), ("\U0001f600", "\uffee"), ("b", "a")]
+    got = {tuple(r) for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {("ё", "z"), ("я", "z"), ("z", "z"), ("\U0001f600", "\uffee"), ("\uffee", "\uffee"), ("b", "a"), ("a", "a")}

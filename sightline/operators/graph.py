@@ -35,8 +35,10 @@ def _forest(u: pa.ChunkedArray, v: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]
     return names.take(pa.array(far)), names.take(pa.array(low[far]))
 
 
-def _contracted(e: DataFrame, block: int) -> DataFrame:
-    """Edges (u, v) that connect what e's edges connect, each block of a task's edges made stars: the work of the first rounds, without a shuffle."""
+def _contracted(edges: DataFrame, block: int) -> DataFrame:
+    """Edges (u, v) that connect what these connect, written, each block of a task's edges made stars: the work of the first rounds, without a shuffle.
+    There is one task for every block of edges, however many partitions hold them."""
+    e = written(edges, "edges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -53,7 +55,7 @@ def _contracted(e: DataFrame, block: int) -> DataFrame:
         if held:
             yield stars()
 
-    return e.mapInArrow(run, e.schema)
+    return written(e.coalesce(e.count() // block + 1).mapInArrow(run, e.schema), "contracted")
 
 
 def _settled(e: DataFrame) -> bool:
@@ -69,13 +71,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", block: in
     logarithm of the nodes, each round is two aggregations and two equi-joins, and no node's neighbours are ever gathered in one row.
     Each round's minima are written before they are joined: read from a table, the neighbours of a node that most edges meet at are
     split among tasks by adaptive execution, which a join right behind an aggregation on the same key never is.
-    Before each round every task contracts the edges it has, so that few rounds are left.
+    Before each round every block of edges is contracted in one task, so that few rounds are left.
     Edges that are stars are done, before the first round as well: both kinds of round keep what is connected and the smaller end on the right.
     Self loops and repeated edges are allowed, null ends are dropped. An empty table gives an empty table.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = written(_contracted(e, block), "edges")
+    e = _contracted(e, block)
     while not _settled(e):
         # large star: every larger neighbour goes to the smallest of a node's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -85,6 +87,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", block: in
         # small star: every smaller neighbour, and the node, go to the smallest of them
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(_contracted(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), block), "edges")
+        e = _contracted(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), block)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,5 +1,6 @@
 """The queries of this package, by name, and their SQL."""
 
+from sightline.llm.bpe import op11_bpe_roundtrip
 from sightline.llm.chat import OP9_SQL, op9_chat_formatting
 from sightline.llm.decontaminate import op7_decontamination
 from sightline.llm.html_text import op4_html_extraction
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_simhash_components": op8_simhash_components,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_training_order": op10_training_order,
+    "op11_bpe_roundtrip": op11_bpe_roundtrip,
 }
 ORACLES = {
     "op1_warc_archive": OP1_SQL,

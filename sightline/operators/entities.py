@@ -15,7 +15,7 @@ def name_forms(names: DataFrame, name: str = "name") -> DataFrame:
     return d.withColumns(forms(F.col("name")))
 
 
-def _keys() -> Column:
+def keys() -> Column:
     """Blocking keys: any two names that match share one. Each rule has its own kind of key."""
     k = lambda kind, c: F.concat(F.lit(kind + ":"), c)
     grams = lambda kind, c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: k(kind, F.substr(c, i, F.lit(3))))
@@ -35,14 +35,13 @@ def pairs(table: DataFrame, names_per_key: int = 0) -> DataFrame:
     the other keys are rare by themselves.
     """
     t = written(table.withColumn("id", F.xxhash64("name")), "forms")
-    keys = t.select("name", F.explode(_keys()).alias("key"))
-    keys = written(keys, "keys")
-    often = keys.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    under = written(t.select("name", F.explode(keys()).alias("key")), "keys")
+    often = under.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     gram = F.col("key").startswith("g:") | F.col("key").startswith("h:")
-    common = keys.join(often, "key")
+    common = under.join(often, "key")
     w = Window.partitionBy("name", F.left("key", F.lit(1))).orderBy("often", "key")
     # a trigram of the contained name occurs in the longer one, so one trigram of each name is probe enough
-    every = keys.where(gram).join(keys.where(gram).groupBy("key").agg(F.count("*").alias("often")), "key")
+    every = under.where(gram).join(under.where(gram).groupBy("key").agg(F.count("*").alias("often")), "key")
     probe = every.withColumn("k", F.row_number().over(w)).where("k = 1 and often > 1").select("key", F.col("name").alias("a"))
     there = common.where(gram).select("key", F.col("name").alias("b"))
     exact = common.where(~gram)

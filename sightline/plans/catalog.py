@@ -252,10 +252,9 @@ SELECT o_orderkey, CASE WHEN t IS NOT NULL THEN greatest(0, floor(epoch_us(TIMES
     "sitemap_pages": "SELECT lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS site, 0::INT AS place, url FROM pages",
 }
 # names hold ASCII letters and blanks only once cleaned, so their other form is spelled by the letters' table
-_BACK = {l: c for c, l in sorted(C.N.LATIN.items(), key=lambda kv: -len(kv[1])) if l}
 _STEPS = "w.latin"
-for _l in sorted(_BACK, key=lambda k: (-len(k), k)):
-    _STEPS = f"replace({_STEPS}, '{_l}', '{_BACK[_l]}')"
+for _l, _c in C.N.CYRILLIC.items():
+    _STEPS = f"replace({_STEPS}, '{_l}', '{_c}')"
 ORACLES["name_aliases"] = ORACLES["name_aliases"].format("CASE WHEN regexp_matches(w.latin, '[A-Za-z]') THEN " + _STEPS.replace("w.latin", "lower(w.latin)") + " END")
 ORACLES["suite_breakdown"] = """WITH c AS (SELECT count(DISTINCT p_type) AS n FROM part WHERE p_partkey % 7 > 1 AND p_type <> '') SELECT kind, value, (n * k)::BIGINT AS n FROM c, (VALUES ('assistant', 'chat', 12), ('assistant', 'search', 12), ('assistant', 'brief', 12),
  ('persona', 'buyer', 12), ('persona', 'expert', 12), ('persona', 'novice', 12), ('intent', 'discovery', 9), ('intent', 'comparison', 18), ('intent', 'price', 9), ('competitor', 'Acme', 9), ('competitor', 'Globex', 9)) AS v(kind, value, k)"""

@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,11 @@ from pyspark.sql import types as T
 
 #: The single spaces at which every text may be cut. Python's white space has all of the pattern's.
 _CUT = re.compile(r" (?<=\S )(?=\S)")
+#: White space beside a space: where there is none, every space is such a cut, but for one at either end, which is a part by itself.
+_BY_SPACE = ["  ", *(x for c in map(chr, range(1, 0x3001)) if c.isspace() and c != " " for x in (c + " ", " " + c))]
 #: Characters taken at once, entries of a memo, and characters of the longest part that is memoised.
-_STRETCH, MEMO, _SHORT = 1 << 18, 1 << 19, 48
+_STRETCH, MEMO, _SHORT = 1 << 18, 1 << 18, 48
+_NONE: dict[int, bool] = {}
 #: Texts handed back in one record batch, at most.
 _ROWS = 256
 
@@ -46,14 +49,18 @@ def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class _Memo(dict):
-    """Results of a function by argument; all are forgotten when there are more than MEMO."""
+    """Packed ids of short parts by a function of them; all are forgotten when there are MEMO."""
 
     def __init__(self, of):
         super().__init__()
         self.of = of
 
-    def __missing__(self, x):
+    def __missing__(self, x: str) -> bytes:
         got = self.of(x)
         if len(x) <= _SHORT:
             if len(self) >= MEMO:
@@ -69,14 +76,17 @@ class Codec:
         import ahocorasick
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.token = {i: t for t, i in ranks.items()}
+        n = max(ranks.values()) + 1
+        self.token: list[bytes | None] = [None] * n
+        self.size, self.shorter = [0] * n, [None] * n
         self.automaton = ahocorasick.Automaton()
         for t, i in ranks.items():
+            self.token[i], self.size[i], self.shorter[i] = t, len(t), self._shorter(t)
             self.automaton.add_word(t[::-1].decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.size = {i: len(t) for t, i in ranks.items()}
-        self.shorter = {i: self._shorter(t) for t, i in ranks.items()}
-        self.compatible = lru_cache(MEMO)(self._compatible)
+        self.whole = {t: _packed([i]) for t, i in ranks.items()}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.matches = _Memo(self.encode_match)
         self.begins, self.goes_on = _Memo(self._part), _Memo(lambda part: self._part(" " + part))
 
@@ -90,30 +100,41 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _compatible(self, before: int | None, token: int) -> bool:
-        """Whether a token may follow another; with none before, whether merging its bytes gives it at all."""
-        if before is None:
-            return self._merged(self.token[token]) == [token]
-        return self._merged(self.token[before] + self.token[token]) == [before, token]
+    def _compatible(self, before: int, token: int) -> bool:
+        """Whether a token may follow another; with none before (-1), whether merging its bytes gives it at all. Memoised."""
+        if self.n_pairs >= MEMO:
+            self.pairs.clear()
+            self.n_pairs = 0
+        got = self._merged(self.token[token]) == [token] if before < 0 else self._merged(self.token[before] + self.token[token]) == [before, token]
+        self.pairs.setdefault(before, {})[token] = got
+        self.n_pairs += 1
+        return got
 
     def _shorter(self, t: bytes) -> int | None:
         """The longest other token that a token begins with."""
         return next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), None)
 
-    def encode_match(self, match: str) -> tuple[int, ...]:
-        """Ids of one match of the pattern."""
+    def encode_match(self, match: str) -> bytes:
+        """Packed ids of one match of the pattern."""
         data = match.encode()
-        if data in self.ranks:
-            return (self.ranks[data],)
-        size, shorter, compatible, n = self.size, self.shorter, self.compatible, len(data)
-        longest = [-1] * (n + 1)
+        if data in self.whole:
+            return self.whole[data]
+        size, shorter, pairs, last = self.size, self.shorter, self.pairs, len(data) - 1
+        longest: list[int | None] = [None] * (last + 2)
         for end, token in self.automaton.iter(data[::-1].decode("latin-1")):  # of the tokens with one end, the longest comes first
-            if longest[n - 1 - end] < 0:
-                longest[n - 1 - end] = token
+            if longest[last - end] is None:
+                longest[last - end] = token
         ids: list[int] = []
-        dead, at, token, before = bytearray(n + 1), 0, longest[0], None
-        while at < n:
-            while token is not None and (dead[at + size[token]] or not compatible(before, token)):
+        dead, at, token, before = bytearray(last + 2), 0, longest[0], -1
+        while at <= last:
+            known = pairs.get(before, _NONE)
+            while token is not None:
+                if not dead[at + size[token]]:
+                    fits = known.get(token)
+                    if fits is None:
+                        fits = self._compatible(before, token)
+                    if fits:
+                        break
                 token = shorter[token]
             if token is not None:
                 ids.append(token)
@@ -122,20 +143,22 @@ class Codec:
             else:
                 dead[at] = 1
                 token = ids.pop()
-                at, before = at - size[token], ids[-1] if ids else None
-        return tuple(ids)
+                at, before = at - size[token], ids[-1] if ids else -1
+        return _packed(ids)
 
-    def _part(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.matches.__getitem__, self.pattern.findall(text))))
+    def _part(self, text: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, self.pattern.findall(text)))
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids of a whole text, a stretch of it at a time."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a whole text, a stretch of it at a time."""
         lo = 0
         while lo < len(text):
             cut = _CUT.search(text, lo + _STRETCH) if len(text) - lo > _STRETCH else None
             hi = cut.start() if cut else len(text)
-            first, *rest = _CUT.split(text[lo:hi])
-            yield list(chain(self.begins[first], chain.from_iterable(map(self.goes_on.__getitem__, rest))))
+            stretch = text[lo:hi] if lo or cut else text
+            first, *rest = _CUT.split(stretch) if any(x in stretch for x in _BY_SPACE) else stretch.split(" ")
+            yield self.begins[first]
+            yield b"".join(map(self.goes_on.__getitem__, rest))
             lo = hi
 
     def decode(self, ids: list[int]) -> bytes:
@@ -148,36 +171,51 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return Codec({base64.b64decode(t): int(i) for t, i in (line.split() for line in ranks.splitlines() if line.strip())}, pattern)
 
 
-def _with(df: DataFrame, source: str, to: str, kind: T.DataType, run) -> DataFrame:
-    """df with a column more, made batch by batch from another; run gives an Arrow array for a list of values."""
-    kept = [f for f in df.schema.fields if f.name != to]
-    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)]).add("made", kind)  # Spark's Arrow maps take no dots in names
+def _with(df: DataFrame, source: str, to: list[T.StructField], run) -> DataFrame:
+    """df with columns more, made batch by batch from another; run gives their Arrow arrays for its array."""
+    names = [f.name for f in to]
+    kept = [f for f in df.schema.fields if f.name not in names]
+    # Spark's Arrow maps take no dots in names
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField(f"made{i}", f.dataType) for i, f in enumerate(to)])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for lo in range(0, b.num_rows, _ROWS):
                 part = b.slice(lo, _ROWS)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), run(part.column(len(kept)).to_pylist())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *run(part.column(len(kept)))], names=schema.names)
 
     columns = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)]
-    return df.select(*columns, F.col(f"`{source}`").alias("source")).mapInArrow(batches, schema).toDF(*(f.name for f in kept), to)
+    return df.select(*columns, F.col(f"`{source}`").alias("source")).mapInArrow(batches, schema).toDF(*(f.name for f in kept), *names)
+
 
+def _decoded(c: Codec, rows: pa.ListArray) -> pa.Array:
+    ends, given = rows.offsets.to_numpy(), rows.is_valid().to_pylist()
+    flat = rows.values.slice(ends[0], ends[-1] - ends[0])
+    all_ids = flat.to_pylist() if flat.null_count else flat.to_numpy().tolist()
+    ends = (ends - ends[0]).tolist()
+    parts = (all_ids[a:b] for a, b in zip(ends, ends[1:], strict=False))
+    return pa.array([c.decode([i for i in p if i is not None] if flat.null_count else p) if ok else None for p, ok in zip(parts, given, strict=True)], pa.binary())
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: bytes | None = None, pattern: str | None = None) -> DataFrame:
-    """df with ids array<int>, the token ids of its text. ranks: the bytes of a rank file, a few MB at most; they are broadcast."""
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: bytes | None = None, pattern: str | None = None, data: str | None = None) -> DataFrame:
+    """df with ids array<int>, the token ids of its text; with data, also the bytes that these ids decode to, in the same pass.
+
+    ranks: the bytes of a rank file, a few MB at most; they are broadcast.
+    """
     if ranks is None:
         ranks, pattern = vocabulary_file()
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    def run(texts: list[str | None]) -> pa.Array:
+    def run(texts: pa.Array) -> list[pa.Array]:
         c, got, ends = codec(shared.value, pattern), [], [0]
-        for t in texts:
-            stretches = [np.array(x, np.int32) for x in c.encode(t or "")]
-            got += stretches
-            ends.append(ends[-1] + sum(map(len, stretches)))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *got])))
+        for t in texts.to_pylist():
+            got += c.encode(t or "")
+            ends.append(len(got))
+        at = np.cumsum([0, *map(len, got)])[ends] // 4
+        rows = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))
+        return [rows, _decoded(c, rows)] if data else [rows]
 
-    return _with(df, text, ids, T.ArrayType(T.IntegerType()), run)
+    return _with(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(data, T.BinaryType())] if data else [])], run)
 
 
 def decode(df: DataFrame, ids: str = "ids", data: str = "data", ranks: bytes | None = None, pattern: str | None = None) -> DataFrame:
@@ -185,20 +223,15 @@ def decode(df: DataFrame, ids: str = "ids", data: str = "data", ranks: bytes | N
     if ranks is None:
         ranks, pattern = vocabulary_file()
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(rows: list[list[int] | None]) -> pa.Array:
-        c = codec(shared.value, pattern)
-        return pa.array([None if r is None else c.decode([i for i in r if i is not None] if None in r else r) for r in rows], pa.binary())
-
-    return _with(df, ids, data, T.BinaryType(), run)
+    return _with(df, ids, [T.StructField(data, T.BinaryType())], lambda rows: [_decoded(codec(shared.value, pattern), rows)])
 
 
 def op11_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:
     from sightline.sources.tables import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs).drop("text"))
+    out = encode(docs, data="data")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.coalesce("data", F.lit(b"")), 256).alias("decoded_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
     )

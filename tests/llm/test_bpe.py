@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def both():
 
 
 def ids(mine, text):
-    return [i for x in mine.encode(text) for i in x]
+    return np.frombuffer(b"".join(mine.encode(text)), np.int32).tolist()
 
 
 def test_ids_are_those_of_the_merges(both):
@@ -69,6 +70,8 @@ def test_columns(spark, both):
     for r in rows:
         assert r["tokens"] == both[1].encode_ordinary(HARD[r["ids"]] or "") and bytes(r["text"]) == (HARD[r["ids"]] or "").encode()
     assert B.decode(B.encode(df.where("false"))).collect() == []
+    once = B.encode(df, data="text").orderBy("ids").collect()
+    assert all(bytes(r["text"]) == b"".join(both[0].token[i] for i in r["ids"]) for r in once) and sorted(bytes(r["text"]) for r in once) == sorted(bytes(r["text"]) for r in rows)
     nulls = spark.createDataFrame([(None,), ([],), ([None, 64],)], "ids array<int>")
     assert [r["data"] and bytes(r["data"]) for r in B.decode(nulls).collect()] == [None, b"", b"a"]
     assert B.encode(df.withColumn("ids", F.lit(1))).schema["ids"].dataType.simpleString() == "array<int>"

@@ -71,24 +71,6 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], newest: list[st
     q.awaitTermination()
 
 
-def failure_alerts(stream: DataFrame, streak: int = 5) -> DataFrame:
-    """An alert row when a vendor's calls have failed so often in a row; a success resets the count. Input: vendor, ts, call_id, ok."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def watch(key, batches, state):
-        count = state.get[0] if state.exists else 0
-        rows, alerts = pd.concat(list(batches)).sort_values(["ts", "call_id"]), []
-        for ok, ts in zip(rows["ok"], rows["ts"], strict=True):
-            count = 0 if ok else count + 1
-            if count == streak:
-                alerts.append(ts)
-        state.update((count,))
-        yield pd.DataFrame({"vendor": [key[0]] * len(alerts), "ts": alerts})
-
-    return stream.groupBy("vendor").applyInPandasWithState(watch, "vendor string, ts timestamp", "failures int", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_appended(stream: DataFrame) -> DataFrame:
     """Drains an append-mode stream into a table."""
     base = shared_dir(stream.sparkSession)

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from sightline.operators.graph import connected_components
 from sightline.sources.shared import written
 
-PIVOTS, BLOCKS = 32, 2
+#: Pivots at least and at most (a vector each on the driver), and rows of either side that are compared at once.
+PIVOTS, MOST_PIVOTS, ROWS = 32, 2048, 2048
+#: Distinct vectors of a component that one task clusters by itself; larger components are clustered by rounds of joins.
+LOCAL = 1000
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
 
@@ -31,13 +34,14 @@ def _lists(column: pa.Array) -> np.ndarray:
 def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> DataFrame:
     """(a, b, distance) of all pairs a < b within a cosine distance, exactly; zero and null vectors have no neighbours.
 
-    PIVOTS vectors (a bounded sample, the smallest by a hash of the id) divide the vectors by nearest pivot. By the triangle inequality on angles,
-    neighbours of a vector lie with pivots whose radius reaches it. A pivot's members are dealt over BLOCKS blocks, and every probe is compared with each
-    block as one matrix product, so no group is held whole in one task.
+    Some vectors, about the square root of their number (a sample, the smallest by a hash of the id), are pivots; each vector lies with its nearest one.
+    By the triangle inequality on angles, neighbours of a vector lie with pivots whose radius reaches it. What lies with a pivot, and what probes it, are
+    counted first and dealt over as many blocks of ROWS rows as that takes; each pair of blocks is one matrix product in one task.
     """
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     v = v.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    v = written(v.withColumn("at", F.monotonically_increasing_id()), "vectors")
+    sample = v.orderBy(F.xxhash64("id"), "id", "at").limit(min(MOST_PIVOTS, max(PIVOTS, math.isqrt(v.count())))).collect()
     if not sample:
         return v.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")).where("false")
     pivots = _unit([r["v"] for r in sample])
@@ -47,23 +51,28 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> Dat
         for b in batches:
             angle = np.arccos(np.clip(_lists(b.column(1)) @ pivots.T, -1, 1)) if b.num_rows else np.zeros((0, 1))
             p = angle.argmin(axis=1) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p.astype(np.int32)), pa.array(angle[np.arange(len(p)), p])], names=["id", "v", "p", "angle"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.astype(np.int32)), pa.array(angle[np.arange(len(p)), p])], names=["id", "v", "at", "p", "angle"])
 
-    homes = written(v.mapInArrow(home, "id long, v array<double>, p int, angle double"), "homes")
-    reach = {r["p"]: r["r"] for r in homes.groupBy("p").agg(F.max("angle").alias("r")).collect()}  # at most PIVOTS rows
+    homes = written(v.select("id", "v", "at").mapInArrow(home, "id long, v array<double>, at long, p int, angle double"), "homes")
+    held = {r["p"]: r for r in homes.groupBy("p").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()}  # a row for each pivot
+    keys = np.array(sorted(held))
+    radius = np.array([held[k]["r"] for k in keys])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(sorted(reach))
-        radius = np.array([reach[k] for k in keys])
         for b in batches:
             if b.num_rows:
                 near = np.arccos(np.clip(_lists(b.column(1)) @ pivots[keys].T, -1, 1)) <= radius + theta
                 i, k = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(keys[k].astype(np.int32))], names=["id", "v", "p"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), b.column(2).take(pa.array(i)), pa.array(keys[k].astype(np.int32))], names=["id", "v", "at", "p"])
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    probes = homes.select("id", "v").mapInArrow(probe, "id long, v array<double>, p int").withColumn("block", blocks)
-    members = homes.select("id", "v", "p").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"))
+    reached = homes.select("id", "v", "at").mapInArrow(probe, "id long, v array<double>, at long, p int")
+    counts = {r["p"]: r["count"] for r in reached.groupBy("p").count().collect()}
+    blocks = homes.sparkSession.createDataFrame([(int(k), -(-counts.get(k, 0) // ROWS), -(-held[k]["n"] // ROWS)) for k in keys], "p int, xs int, ys int")
+    blocks = F.broadcast(blocks)  # MOST_PIVOTS rows at most
+    own = lambda n: F.pmod(F.xxhash64("at"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = reached.join(blocks, "p").select("id", "v", "p", own("xs").alias("x"), every("ys").alias("y"))
+    members = homes.join(blocks, "p").where("xs > 0").select("id", "v", "p", own("ys").alias("y"), every("xs").alias("x"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -78,7 +87,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> Dat
                 out.append(pd.DataFrame({"a": a[keep], "b": b[keep], "distance": d[i, j][keep]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
 
-    both = probes.groupBy("p", "block").cogroup(members.groupBy("p", "block")).applyInPandas(compare, "a long, b long, distance double")
+    both = probes.groupBy("p", "x", "y").cogroup(members.groupBy("p", "x", "y")).applyInPandas(compare, "a long, b long, distance double")
     return both.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
@@ -111,12 +120,13 @@ def search(queries: DataFrame, df: DataFrame, id_col: str, vec_col: str, distanc
     return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(compare, "q long, id long, distance double")
 
 
-def average_linkage(ids: np.ndarray, unit: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster label (smallest id) of each vector: the nearest two clusters merge while their mean pairwise distance is at most cut."""
+def average_linkage(ids: np.ndarray, unit: np.ndarray, cut: float, weight: np.ndarray | None = None) -> np.ndarray:
+    """Cluster label (smallest id) of each vector: the nearest two clusters merge while their mean pairwise distance is at most cut. ids ascend; of equally near
+    pairs, that with the smallest ids merges first. weight: how many vectors each one stands for."""
     n = len(ids)
     d = 1.0 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, alive, label = np.ones(n), np.ones(n, bool), ids.copy()
+    size, alive, label = np.ones(n) if weight is None else weight.astype(float), np.ones(n, bool), ids.copy()
     parts = [[i] for i in range(n)]
     while alive.sum() > 1:
         i, j = divmod(int(d.argmin()), n)
@@ -135,16 +145,68 @@ def average_linkage(ids: np.ndarray, unit: np.ndarray, cut: float) -> np.ndarray
     return label
 
 
+def _mean_distance(d: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b, d) of pairs of clusters (a, b). With s the sum of a cluster's unit vectors and n their number, the mean of all distances between two
+    clusters is 1 - s.s' / (n n'), so no pair of vectors is looked at again."""
+    side = lambda p: of.select(F.col("id").alias(p), F.col("n").alias(f"n_{p}"), F.col("s").alias(f"s_{p}"))
+    dot = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return d.join(side("a"), "a").join(side("b"), "b").select("a", "b", (1.0 - dot / (F.col("n_a") * F.col("n_b"))).alias("d"))
+
+
+def _linked_by_rounds(points: DataFrame, pairs: DataFrame, cut: float) -> DataFrame:
+    """(id, cluster) by average linkage over points (id, n, s) and their pairs (a, b) within cut.
+
+    Each round merges all pairs of clusters that are each other's nearest. A merged cluster is never nearer to a third one than the nearer
+    of its parts was, so these merges are among those that nearest-first merging makes; pairs farther apart than cut can be let go, as a merged
+    cluster is within cut of another only if one of its parts was. Pairs are ordered by distance and then ids, so the first one of all is
+    always merged, and rounds end.
+    """
+    clusters_ = written(points, "points")
+    edges = written(_mean_distance(pairs.select("a", "b"), clusters_).where(F.col("d") <= cut), "edges")
+    member = clusters_.select("id", F.col("id").alias("cluster"))
+    while True:
+        pick = F.struct("d", "a", "b").alias("p")
+        near = edges.select(F.col("a").alias("x"), pick).unionByName(edges.select(F.col("b").alias("x"), pick)).groupBy("x").agg(F.min("p").alias("p"))
+        merged = written(near.groupBy("p.a", "p.b").count().where("count = 2").select(F.col("b").alias("gone"), F.col("a").alias("into")), "merged")
+        if merged.isEmpty():
+            return member
+        to = lambda d, c: d.join(merged, F.col(c) == F.col("gone"), "left").withColumns({c: F.coalesce("into", c), f"_{c}": F.col("into").isNotNull()}).drop("gone", "into")
+        add = F.aggregate(F.array_sort(F.collect_list(F.struct("was", "s"))), F.array().cast("array<double>"), lambda t, x: F.when(F.size(t) == 0, x["s"]).otherwise(F.zip_with(t, x["s"], lambda p, q: p + q)))
+        clusters_ = written(to(clusters_.withColumn("was", F.col("id")), "id").groupBy("id").agg(F.sum("n").alias("n"), add.alias("s")), "points")
+        member = written(to(member, "cluster").select("id", "cluster"), "members")
+        grown = merged.select(F.col("into").alias("a"), F.lit(True).alias("grown"))
+        e = to(to(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+        e = e.join(grown, "a", "left").join(grown.withColumnsRenamed({"a": "b", "grown": "grown_b"}), "b", "left").withColumn("old", F.col("grown").isNull() & F.col("grown_b").isNull())
+        e = written(e.select("a", "b", "d", "old"), "moved")
+        changed = _mean_distance(e.where("not old").select("a", "b").distinct(), clusters_).where(F.col("d") <= cut)
+        edges = written(e.where("old").select("a", "b", "d").unionByName(changed), "edges")
+
+
 def clusters(df: DataFrame, id_col: str, vec_col: str, cut: float = 0.15) -> DataFrame:
-    """(id, cluster) by average linkage at a cut. A merge within cut needs a pair within cut, so each component of the pair graph is clustered
-    by itself, exactly; vectors without neighbours, zero and null vectors stay alone."""
-    pairs = written(neighbours(df, id_col, vec_col, cut), "pairs")
-    parts = connected_components(pairs, "a", "b")
-    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    """(id, cluster) by average linkage at a cut; a cluster is named by its smallest id.
+
+    Equal vectors are one point with their number, so copies make no pairs. A merge within cut needs a pair within cut, so each component of the pair graph is clustered by itself,
+    exactly: components of LOCAL points or fewer in one task each, larger ones by rounds of joins. Vectors without neighbours, zero and null vectors stay alone,
+    each by itself; null ids are left out, and a repeated id is as many vectors as it has.
+    """
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null")
+    good = v.where(F.col("v").isNotNull()).where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    points = written(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
+    pairs = written(neighbours(points, "id", "v", cut), "pairs")
+    parts = written(connected_components(pairs, "a", "b"), "parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    inside = written(points.join(parts, F.col("id") == F.col("node")).join(sizes, "component").select("id", "v", "n", "component", "size"), "inside")
 
     def cluster(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
-        return pd.DataFrame({"id": g["id"], "cluster": average_linkage(g["id"].to_numpy(), _unit(g["v"]), cut)})
-
-    inside = v.join(parts, F.col("id") == F.col("node")).groupBy("component").applyInPandas(cluster, "id long, cluster long")
-    return v.select("id").join(inside, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+        return pd.DataFrame({"id": g["id"], "cluster": average_linkage(g["id"].to_numpy(), _unit(g["v"]), cut, g["n"].to_numpy())})
+
+    done = inside.where(F.col("size") <= LOCAL).groupBy("component").applyInPandas(cluster, "id long, cluster long")
+    large = inside.where(F.col("size") > LOCAL)
+    if not large.isEmpty():
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+        own = large.select("id", "n", F.transform("v", lambda x: x / norm * F.col("n")).alias("s"))
+        linked = pairs.join(large.select(F.col("id").alias("a")), "a", "left_semi")
+        done = done.unionByName(_linked_by_rounds(own, linked, cut))
+    done = points.select("v", F.col("id").alias("point")).join(done.withColumnRenamed("id", "point"), "point", "left").select("v", F.coalesce("cluster", "point").alias("cluster"))
+    return v.join(done, "v", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

@@ -30,6 +30,34 @@ def test_neighbours_and_clusters(spark, monkeypatch):
     assert V.clusters(df.where("false"), "vec_id", "e").collect() == []
 
 
+def test_large_component_by_rounds(spark, monkeypatch):
+    """One component of 1,200 points and copies: rounds of joins against the matrix of one task."""
+    rng = np.random.default_rng(9)
+    steps = np.cumsum(rng.uniform(0.02, 0.2, size=1200))  # a walk on a circle, thickened: near neighbours overlap all the way
+    m = np.stack([np.cos(steps / 40), np.sin(steps / 40), *(rng.normal(scale=0.03, size=(3, 1200)))], axis=1)
+    rows = [(int(i), x.tolist()) for i, x in zip(rng.permutation(1200) * 2, m)]
+    copies = [(5001 + k, rows[k % 7][1]) for k in range(40)]
+    df = spark.createDataFrame(rows + copies, "vec_id long, e array<double>").repartition(6)
+    every = sorted(rows + copies)
+    ids, u = np.array([i for i, _ in every]), V._unit([x for _, x in every])
+    want = dict(zip(ids.tolist(), V.average_linkage(ids, u, 0.004).tolist()))
+    monkeypatch.setattr(V, "LOCAL", 50)
+    got = {r["id"]: r["cluster"] for r in V.clusters(df, "vec_id", "e", 0.004).collect()}
+    assert got == want and 5 < len(set(want.values())) < 600
+
+
+def test_blocks_follow_counts(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROWS", 16)
+    monkeypatch.setattr(V, "PIVOTS", 3)
+    rng = np.random.default_rng(5)
+    m = np.concatenate([np.ones((60, 4)) + rng.normal(scale=0.05, size=(60, 4)), rng.normal(size=(60, 4))])  # half of all rows lie with one pivot
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(7, m[7].tolist())], "vec_id long, e array<double>")
+    u = V._unit(m)
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if 1 - u[i] @ u[j] <= 0.05}
+    got = [(r["a"], r["b"]) for r in V.neighbours(df, "vec_id", "e", 0.05).collect()]
+    assert set(got) == want and len(got) == len(want) > 1000
+
+
 def test_search_meets_all_vectors(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +30,89 @@ def keys() -> Column:
     )))
 
 
-def pairs(table: DataFrame, names_per_key: int = 0) -> DataFrame:
-    """(a, b) with a < b of all matching names of a form table.
+def classes(table: DataFrame) -> DataFrame:
+    """Names of a form table with all forms alike as one row: name (the smallest), n and the forms. Such names match one another, and the same others."""
+    same = [c for c in table.columns if c != "name"]
+    return table.groupBy(*same).agg(F.min("name").alias("name"), F.count("*").alias("n")).select("name", "n", *same)
+
+
+def members(table: DataFrame, of: DataFrame) -> DataFrame:
+    """(name, of): every name of a form table with the one that stands for its class."""
+    same = [c for c in table.columns if c != "name"]
+    other = of.select(F.col("name").alias("of"), *(F.col(c).alias(f"c_{c}") for c in same))
+    alike = [F.col("norm") == F.col("c_norm"), *(F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in same if c != "norm")]
+    return table.join(other, reduce(lambda x, y: x & y, alike)).select("name", "of")
+
 
-    Of trigram keys, which only serve containment, a name probes with its rarest one, and all names are found under all of theirs;
-    the other keys are rare by themselves.
+def candidates(t: DataFrame) -> DataFrame:
+    """(a, b) with a < b of names of a form table that may match: all that do are among them, and names that only begin or sound alike are not.
+
+    Equal forms meet as they are. For prefixes, a name looks its whole Latin form up among the beginnings of others that it is long enough for. For sounds, a name looks
+    its skeletons up, whole and with a letter left out, among names of another script. For containment, it looks its rarest trigram up among all of others'.
     """
-    t = written(table.withColumn("id", F.xxhash64("name")), "forms")
-    under = written(t.select("name", F.explode(keys()).alias("key")), "keys")
-    often = under.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    gram = F.col("key").startswith("g:") | F.col("key").startswith("h:")
-    common = under.join(often, "key")
+    k = lambda kind, c: F.concat(F.lit(kind + ":"), c)
+    both = lambda x, y: x.select("key", F.col("name").alias("a")).join(y.select("key", F.col("name").alias("b")), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    equal = F.array(k("n", F.col("norm")), k("l", F.col("lat")), k("c", F.col("cyr")), k("s", F.col("syn")), F.when(F.col("bare") != "", k("n", F.col("bare"))), F.when(F.col("bare_lat") != "", k("b", F.col("bare_lat"))))
+    same = t.select("name", F.explode(F.array_distinct(F.array_compact(equal))).alias("key"))
+
+    n = F.length("lat")
+    begins = F.when(n >= 4, F.transform(F.sequence(F.greatest(F.lit(4), F.ceil(n * 0.4).cast("int")), n), lambda i: F.left("lat", i)))
+    starts = t.select("name", F.explode(begins).alias("key"))
+    whole = t.where(n >= 4).select("name", F.col("lat").alias("key"))
+
+    script = F.when(F.col("has_lat") & ~F.col("has_cyr"), "l").when(F.col("has_cyr") & ~F.col("has_lat"), "c").otherwise("m")
+    cuts = F.transform(F.sequence(F.lit(1), F.length("skel")), lambda i: F.concat(F.substr("skel", F.lit(1), i - 1), F.substr("skel", i + 1)))
+    skeletons = t.where(F.length("skel") >= 4).select("name", script.alias("script"), F.explode(F.array_distinct(F.concat(F.array("skel"), cuts))).alias("skel"))
+    others = F.when(F.col("script") == "l", F.array(F.lit("c"), F.lit("m"))).otherwise(F.array(F.lit("m")))
+    asks = skeletons.select("name", k("m", "skel").alias("key"), F.explode(others).alias("to")).select("name", F.concat_ws(":", "to", "key").alias("key"))
+    sound = both(asks, skeletons.select("name", F.concat_ws(":", "script", k("m", "skel")).alias("key")))
+
+    grams = lambda kind, c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: k(kind, F.substr(c, i, F.lit(3))))
+    every = written(t.select("name", F.explode(F.array_distinct(F.concat(grams("g", F.col("norm")), grams("h", F.col("lat"))))).alias("key")), "grams")
+    often = every.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     w = Window.partitionBy("name", F.left("key", F.lit(1))).orderBy("often", "key")
-    # a trigram of the contained name occurs in the longer one, so one trigram of each name is probe enough
-    every = under.where(gram).join(under.where(gram).groupBy("key").agg(F.count("*").alias("often")), "key")
-    probe = every.withColumn("k", F.row_number().over(w)).where("k = 1 and often > 1").select("key", F.col("name").alias("a"))
-    there = common.where(gram).select("key", F.col("name").alias("b"))
-    exact = common.where(~gram)
-    both = exact.select("key", F.col("name").alias("a")).join(exact.select("key", F.col("name").alias("b")), "key").where("a < b").select("a", "b")
-    inside = probe.join(there, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cand = both.unionByName(inside).distinct()
-    side = lambda p: t.drop("id").select(F.col("name").alias(p[0]), *[F.col(c).alias(p + c) for c in t.columns if c not in ("name", "id")])
-    return cand.join(side("a_"), "a").join(side("b_"), "b").where(match()).select("a", "b")
+    # of trigrams that nobody else has none is asked for: such a name is contained in no other
+    alone = every.join(often, "key", "left_anti").select("name", F.left("key", F.lit(1)).alias("kind")).distinct()
+    rarest = every.join(often, "key").withColumn("kind", F.left("key", F.lit(1))).join(alone, ["name", "kind"], "left_anti").withColumn("place", F.row_number().over(w)).where("place = 1")
+    return both(same, same).unionByName(both(whole, starts)).unionByName(sound).unionByName(both(rarest, every)).distinct()
+
+
+def class_pairs(of: DataFrame) -> DataFrame:
+    """(a, b) with a < b of the classes of names that match."""
+    t = written(of, "classes")
+    side = lambda p: t.select(F.col("name").alias(p[0]), *[F.col(c).alias(p + c) for c in t.columns if c not in ("name", "n")])
+    return candidates(t).join(side("a_"), "a").join(side("b_"), "b").where(match()).select("a", "b")
+
+
+def pairs(table: DataFrame) -> DataFrame:
+    """(a, b) with a < b of all matching names of a form table: pairs of classes, expanded."""
+    of = classes(table)
+    m = written(members(table, of), "members")
+    mine = lambda c: m.select(F.col("name").alias(f"n{c}"), F.col("of").alias(c))
+    between = class_pairs(of).join(mine("a"), "a").join(mine("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    within = mine("a").join(m.select("name", F.col("of").alias("a")), "a").where("na < name").select(F.col("na").alias("a"), F.col("name").alias("b"))
+    return between.unionByName(within)
+
+
+def links(table: DataFrame) -> DataFrame:
+    """(name, of, links): each name with the one that stands for its class, and how many other names it matches; no pair of members is made."""
+    of = written(classes(table), "classes")
+    p = written(class_pairs(of), "pairs")
+    n = of.select(F.col("name").alias("b"), "n")
+    out = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(n, "b").groupBy("a").agg(F.sum("n").alias("out"))
+    return members(table, of).join(of.select(F.col("name").alias("of"), "n"), "of").join(out, F.col("of") == F.col("a"), "left").select("name", "of", (F.coalesce("out", F.lit(0)) + F.col("n") - 1).alias("links"))
+
+
+def ranked_leaders(table: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(name, leader) as leaders() gives it for the matching names of a form table and ranks (name, rank), found between classes: the first name of a class goes
+    where it would alone, and the others go with it."""
+    of = classes(table)
+    m = written(members(table, of).join(ranks, "name"), "members")
+    first = written(m.groupBy("of").agg(F.min_by("name", "rank").alias("first"), F.min("rank").alias("rank")), "firsts")
+    to = lambda d, c: d.join(first.select(F.col("of").alias(c), F.col("first").alias(f"f{c}")), c)
+    edges = written(to(to(class_pairs(of), "a"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")), "edges")
+    led = leaders(first.select(F.col("first").alias("name"), "rank"), edges)
+    return m.join(first.select("of", "first"), "of").join(led.select(F.col("name").alias("first"), "leader"), "first").select("name", "leader")
 
 
 def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -45,7 +45,12 @@ def name_pairs_exact(spark, sf_dir):
 def _clusters(spark, sf_dir):
     freq = frequencies(spark, sf_dir)
     order = freq.select("name", F.struct((-F.col("freq")).alias("f"), F.col("name").alias("n")).alias("rank"))
-    return E.leaders(order, name_pairs(spark, sf_dir)).join(freq, "name")
+    return E.ranked_leaders(E.name_forms(names(spark, sf_dir)), order).join(freq, "name")
+
+
+def name_links(spark, sf_dir):
+    """Every name with its class and the number of other names that it matches."""
+    return E.links(E.name_forms(names(spark, sf_dir)))
 
 
 def name_clusters(spark, sf_dir):
@@ -186,6 +191,7 @@ QUERIES = {
     "name_forms": name_forms,
     "name_pairs": name_pairs,
     "name_pairs_exact": name_pairs_exact,
+    "name_links": name_links,
     "name_clusters": name_clusters,
     "name_components": name_components,
     "canonical_pick": canonical_pick,

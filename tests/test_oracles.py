@@ -32,7 +32,7 @@ def test_query(spark, sf_dir, duck, name):
     cols = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
     if name not in ORACLES:
-        assert name in {"name_pairs", "name_clusters", "canonical_pick", "vector_clusters", "near_dup", "fuzzy_mentions", "extracted_mentions", "discovered_entities"}  # held against brute force in test_entities.py, test_vectors.py and test_resolve.py
+        assert name in {"name_pairs", "name_links", "name_clusters", "canonical_pick", "vector_clusters", "near_dup", "fuzzy_mentions", "extracted_mentions", "discovered_entities"}  # held against brute force in test_entities.py, test_vectors.py and test_resolve.py
         return
     got = duck.execute(ORACLES[name])
     names = [d[0] for d in got.description]

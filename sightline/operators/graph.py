@@ -35,10 +35,11 @@ def _forest(u: pa.ChunkedArray, v: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]
     return names.take(pa.array(far)), names.take(pa.array(low[far]))
 
 
-def _contracted(edges: DataFrame, block: int) -> DataFrame:
+def _contracted(edges: DataFrame, block: int) -> tuple[DataFrame, bool]:
     """Edges (u, v) that connect what these connect, written, each block of a task's edges made stars: the work of the first rounds, without a shuffle.
-    There is one task for every block of edges, however many partitions hold them."""
+    There is one task for every block of edges, however many partitions hold them. Also whether all were one block, and so are stars."""
     e = written(edges, "edges")
+    n = e.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -55,7 +56,7 @@ def _contracted(edges: DataFrame, block: int) -> DataFrame:
         if held:
             yield stars()
 
-    return written(e.coalesce(e.count() // block + 1).mapInArrow(run, e.schema), "contracted")
+    return written(e.coalesce(n // block + 1).mapInArrow(run, e.schema), "contracted"), n < block
 
 
 def _settled(e: DataFrame) -> bool:
@@ -77,8 +78,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", block: in
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = _contracted(e, block)
-    while not _settled(e):
+    e, done = _contracted(e, block)
+    while not (done or _settled(e)):
         # large star: every larger neighbour goes to the smallest of a node's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
@@ -87,6 +88,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", block: in
         # small star: every smaller neighbour, and the node, go to the smallest of them
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = _contracted(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), block)
+        e, done = _contracted(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), block)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -54,16 +54,19 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Memo(dict):
-    """Packed ids of short parts by a function of them; all are forgotten when there are MEMO."""
+    """Packed ids of short parts by a function of them. When there are MEMO, those that are not asked for again before the next MEMO are forgotten."""
 
     def __init__(self, of):
         super().__init__()
-        self.of = of
+        self.of, self.older = of, {}
 
     def __missing__(self, x: str) -> bytes:
-        got = self.of(x)
+        got = self.older.get(x)
+        if got is None:
+            got = self.of(x)
         if len(x) <= _SHORT:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[x] = got
         return got

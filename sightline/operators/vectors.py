@@ -15,7 +15,7 @@ from sightline.operators.graph import connected_components
 from sightline.sources.shared import written
 
 #: Pivots at least and at most (a vector each on the driver), and rows of either side that are compared at once.
-PIVOTS, MOST_PIVOTS, ROWS = 32, 2048, 2048
+PIVOTS, MOST_PIVOTS, ROWS = 8, 2048, 8192
 #: Distinct vectors of a component that one task clusters by itself; larger components are clustered by rounds of joins.
 LOCAL = 1000
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
@@ -34,14 +34,14 @@ def _lists(column: pa.Array) -> np.ndarray:
 def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> DataFrame:
     """(a, b, distance) of all pairs a < b within a cosine distance, exactly; zero and null vectors have no neighbours.
 
-    Some vectors, about the square root of their number (a sample, the smallest by a hash of the id), are pivots; each vector lies with its nearest one.
+    Some vectors, two for every ROWS (a sample, the smallest by a hash of the id), are pivots; each vector lies with its nearest one.
     By the triangle inequality on angles, neighbours of a vector lie with pivots whose radius reaches it. What lies with a pivot, and what probes it, are
     counted first and dealt over as many blocks of ROWS rows as that takes; each pair of blocks is one matrix product in one task.
     """
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     v = v.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     v = written(v.withColumn("at", F.monotonically_increasing_id()), "vectors")
-    sample = v.orderBy(F.xxhash64("id"), "id", "at").limit(min(MOST_PIVOTS, max(PIVOTS, math.isqrt(v.count())))).collect()
+    sample = v.orderBy(F.xxhash64("id"), "id", "at").limit(min(MOST_PIVOTS, max(PIVOTS, 2 * (v.count() // ROWS)))).collect()
     if not sample:
         return v.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")).where("false")
     pivots = _unit([r["v"] for r in sample])
@@ -59,7 +59,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> Dat
     radius = np.array([held[k]["r"] for k in keys])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 1024) for x in batches for lo in range(0, x.num_rows, 1024)):  # a row comes out for each pivot in reach
             if b.num_rows:
                 near = np.arccos(np.clip(_lists(b.column(1)) @ pivots[keys].T, -1, 1)) <= radius + theta
                 i, k = np.nonzero(near)
@@ -153,29 +153,56 @@ def _mean_distance(d: DataFrame, of: DataFrame) -> DataFrame:
     return d.join(side("a"), "a").join(side("b"), "b").select("a", "b", (1.0 - dot / (F.col("n_a") * F.col("n_b"))).alias("d"))
 
 
-def _linked_by_rounds(points: DataFrame, pairs: DataFrame, cut: float) -> DataFrame:
-    """(id, cluster) by average linkage over points (id, n, s) and their pairs (a, b) within cut.
+def _finished(clusters_: DataFrame, parts: DataFrame, cut: float) -> DataFrame:
+    """(gone, into): clusters that average linkage brings together inside each part (id, component) of LOCAL clusters at most, one task for each."""
+
+    def cluster(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        mean = np.stack(g["s"].to_list()) / g["n"].to_numpy()[:, None]
+        return pd.DataFrame({"gone": g["id"], "into": average_linkage(g["id"].to_numpy(), mean, cut, g["n"].to_numpy())})
+
+    return clusters_.join(parts, "id").groupBy("component").applyInPandas(cluster, "gone long, into long").where("gone <> into")
+
+
+def _linked(points: DataFrame, pairs: DataFrame, cut: float) -> DataFrame:
+    """(id, cluster) by average linkage over points (id, n, s) and their pairs (a, b, d) within cut.
 
-    Each round merges all pairs of clusters that are each other's nearest. A merged cluster is never nearer to a third one than the nearer
-    of its parts was, so these merges are among those that nearest-first merging makes; pairs farther apart than cut can be let go, as a merged
-    cluster is within cut of another only if one of its parts was. Pairs are ordered by distance and then ids, so the first one of all is
-    always merged, and rounds end.
+    Pairs are edges; what no edge connects never merges. Components of LOCAL clusters or fewer are finished in one task each. In larger ones, a round merges all
+    pairs of clusters that are each other's nearest, and components are looked for again whenever half of the clusters are gone. A merged cluster is never nearer to
+    a third one than the nearer of its parts was, so these merges are among those that nearest-first merging makes; pairs farther apart than cut
+    can be let go, as a merged cluster is within cut of another only if one of its parts was. Pairs are ordered by distance and then ids, so the first
+    one of all is always merged, and rounds end.
     """
-    clusters_ = written(points, "points")
-    edges = written(_mean_distance(pairs.select("a", "b"), clusters_).where(F.col("d") <= cut), "edges")
-    member = clusters_.select("id", F.col("id").alias("cluster"))
+    clusters_, edges = written(points, "points"), written(pairs, "edges")
+    member, before = points.select("id", F.col("id").alias("cluster")), None
+
+    def to(d: DataFrame, c: str, merged: DataFrame) -> DataFrame:
+        return d.join(merged, F.col(c) == F.col("gone"), "left").withColumn(c, F.coalesce("into", c)).drop("gone", "into")
+
     while True:
+        nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        n = nodes.count()
+        if not n:
+            return member
+        if before is None or n <= max(LOCAL, before // 2):
+            before = n
+            parts = nodes.withColumn("component", F.lit(0).cast("long"))
+            if n > LOCAL:
+                parts = written(connected_components(edges, "a", "b").select(F.col("node").alias("id"), "component"), "parts")
+                parts = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= LOCAL), "component").select("id", "component")
+            parts = written(parts, "small")
+            member = written(to(member, "cluster", written(_finished(clusters_, parts, cut), "finished")), "members")
+            edges = written(edges.join(parts.select(F.col("id").alias("a")), "a", "left_anti"), "edges")
+            if edges.isEmpty():
+                return member
         pick = F.struct("d", "a", "b").alias("p")
         near = edges.select(F.col("a").alias("x"), pick).unionByName(edges.select(F.col("b").alias("x"), pick)).groupBy("x").agg(F.min("p").alias("p"))
         merged = written(near.groupBy("p.a", "p.b").count().where("count = 2").select(F.col("b").alias("gone"), F.col("a").alias("into")), "merged")
-        if merged.isEmpty():
-            return member
-        to = lambda d, c: d.join(merged, F.col(c) == F.col("gone"), "left").withColumns({c: F.coalesce("into", c), f"_{c}": F.col("into").isNotNull()}).drop("gone", "into")
         add = F.aggregate(F.array_sort(F.collect_list(F.struct("was", "s"))), F.array().cast("array<double>"), lambda t, x: F.when(F.size(t) == 0, x["s"]).otherwise(F.zip_with(t, x["s"], lambda p, q: p + q)))
-        clusters_ = written(to(clusters_.withColumn("was", F.col("id")), "id").groupBy("id").agg(F.sum("n").alias("n"), add.alias("s")), "points")
-        member = written(to(member, "cluster").select("id", "cluster"), "members")
+        clusters_ = written(to(clusters_.withColumn("was", F.col("id")), "id", merged).groupBy("id").agg(F.sum("n").alias("n"), add.alias("s")), "points")
+        member = written(to(member, "cluster", merged), "members")
         grown = merged.select(F.col("into").alias("a"), F.lit(True).alias("grown"))
-        e = to(to(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+        e = to(to(edges, "a", merged), "b", merged).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
         e = e.join(grown, "a", "left").join(grown.withColumnsRenamed({"a": "b", "grown": "grown_b"}), "b", "left").withColumn("old", F.col("grown").isNull() & F.col("grown_b").isNull())
         e = written(e.select("a", "b", "d", "old"), "moved")
         changed = _mean_distance(e.where("not old").select("a", "b").distinct(), clusters_).where(F.col("d") <= cut)
@@ -192,21 +219,8 @@ def clusters(df: DataFrame, id_col: str, vec_col: str, cut: float = 0.15) -> Dat
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null")
     good = v.where(F.col("v").isNotNull()).where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     points = written(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
-    pairs = written(neighbours(points, "id", "v", cut), "pairs")
-    parts = written(connected_components(pairs, "a", "b"), "parts")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    inside = written(points.join(parts, F.col("id") == F.col("node")).join(sizes, "component").select("id", "v", "n", "component", "size"), "inside")
-
-    def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        return pd.DataFrame({"id": g["id"], "cluster": average_linkage(g["id"].to_numpy(), _unit(g["v"]), cut, g["n"].to_numpy())})
-
-    done = inside.where(F.col("size") <= LOCAL).groupBy("component").applyInPandas(cluster, "id long, cluster long")
-    large = inside.where(F.col("size") > LOCAL)
-    if not large.isEmpty():
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
-        own = large.select("id", "n", F.transform("v", lambda x: x / norm * F.col("n")).alias("s"))
-        linked = pairs.join(large.select(F.col("id").alias("a")), "a", "left_semi")
-        done = done.unionByName(_linked_by_rounds(own, linked, cut))
-    done = points.select("v", F.col("id").alias("point")).join(done.withColumnRenamed("id", "point"), "point", "left").select("v", F.coalesce("cluster", "point").alias("cluster"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    own = points.select("id", "n", F.transform("v", lambda x: x / norm * F.col("n")).alias("s"))
+    done = _linked(own, neighbours(points, "id", "v", cut).select("a", "b", F.col("distance").alias("d")), cut)
+    done = points.select("v", F.col("id").alias("point")).join(done.withColumnRenamed("id", "point"), "point").select("v", "cluster")
     return v.join(done, "v", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scope(df: DataFrame, project_id: int | None = None, asof: str | None = None, days: int | None = None, providers: list[str] | None = None, category: str | None = None) -> DataFrame:
-    """Facts of one project, of the last days, of some providers and of categories that hold a text; what is None does not bind. All bounds are literals."""
+def scope(df: DataFrame, project_id: int | None = None, asof: str | None = None, days: int | None = None, providers: list[str] | None = None, category: str | None = None, tenant: str | None = None) -> DataFrame:
+    """Facts of one tenant and project, of the last days, of some providers and of one category; what is None or empty does not bind. All bounds are literals."""
+    if tenant is not None:
+        df = df.where(F.col("tenant") == tenant)
     if project_id is not None:
         df = df.where(F.col("project_id") == project_id)
     if asof is not None:
@@ -15,7 +17,7 @@ def scope(df: DataFrame, project_id: int | None = None, asof: str | None = None,
         df = df.where((F.col("day") <= end) & (F.col("day") >= F.date_sub(end, days)) if days is not None else F.col("day") <= end)
     if providers is not None:
         df = df.where(F.col("provider").isin(*providers))
-    return df if category is None else df.where(F.contains(F.lower("category"), F.lit(category.lower())))
+    return df.where(F.col("category") == category) if category else df
 
 
 def scenario_tree(scenarios: DataFrame, queries: DataFrame) -> DataFrame:

@@ -119,18 +119,36 @@ def over_quota(keywords: DataFrame, limits: dict[str, int], default: int) -> Dat
     return used.withColumn("allowed", allowed).where("used > allowed")
 
 
-def failure_streaks(calls: DataFrame, least: int) -> DataFrame:
-    """Runs of at least so many failures in a row by vendor: the successes so far number the runs."""
-    w = Window.partitionBy("vendor").orderBy("ts", "call_id")
-    r = calls.withColumn("run", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = r.where("not ok").groupBy("vendor", "run").agg(F.count("*").alias("failures"), F.min("ts").alias("since"), F.max("ts").alias("until"))
+def failure_streaks(calls: DataFrame, least: int, bucket: int = 3600) -> DataFrame:
+    """Runs of at least so many failures in a row by vendor: the successes so far number the runs.
+
+    Successes are counted inside buckets of so many seconds; what came before a bucket is a running sum over the vendor's buckets, a row each. So a vendor's calls are
+    spread over all tasks, and a run that spans buckets is put together where runs are counted. Calls of a null vendor are those of one vendor; null times come first.
+    """
+    d = calls.withColumn("_bucket", F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket * 1_000_000)), F.lit(-(1 << 62))))
+    inside = Window.partitionBy("vendor", "_bucket").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_vendor").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = d.groupBy(F.col("vendor").alias("_vendor"), F.col("_bucket").alias("_of")).agg(F.sum(F.col("ok").cast("int")).alias("n"))
+    before = before.select("_vendor", "_of", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_before"))
+    r = d.withColumn("run", F.coalesce(F.sum(F.col("ok").cast("int")).over(inside), F.lit(0))).where("not ok")
+    r = r.join(before, F.col("vendor").eqNullSafe(F.col("_vendor")) & (F.col("_bucket") == F.col("_of"))).withColumn("run", F.col("run") + F.col("_before"))
+    g = r.groupBy("vendor", "run").agg(F.count("*").alias("failures"), F.min("ts").alias("since"), F.max("ts").alias("until"))
     return g.where(F.col("failures") >= least).drop("run")
 
 
-def sliding_load(calls: DataFrame, seconds: int) -> DataFrame:
-    """Requests and tokens of the vendor's last seconds, at each call."""
-    w = Window.partitionBy("vendor").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.select("call_id", "vendor", F.count("*").over(w).alias("requests"), F.sum("tokens").over(w).alias("load"))
+def sliding_load(calls: DataFrame, seconds: int, widths: int = 8) -> DataFrame:
+    """Requests and tokens of the vendor's last seconds, at each call.
+
+    A vendor's time is cut into buckets of so many widths; calls of a bucket's last seconds are looked at in the next one as well, so each bucket is a task's work by itself.
+    Calls of a null time see one another only.
+    """
+    us, reach = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    d = calls.select("call_id", "vendor", "tokens", us.alias("us")).withColumn("own", F.floor(F.col("us") / (reach * widths)))
+    edge = F.col("us") + reach >= (F.col("own") + 1) * (reach * widths)
+    d = d.withColumn("bucket", F.explode(F.when(edge, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    w = Window.partitionBy("vendor", "bucket").orderBy("us").rangeBetween(-reach, 0)
+    d = d.select("call_id", "vendor", F.count("*").over(w).alias("requests"), F.sum("tokens").over(w).alias("load"), "own", "bucket")
+    return d.where(F.col("own").eqNullSafe(F.col("bucket"))).drop("own", "bucket")
 
 
 def run_summary(calls: DataFrame) -> DataFrame:

@@ -75,13 +75,13 @@ def confirmed_pairs(spark, sf_dir):
 
 
 def borderline_pairs(spark, sf_dir):
-    d = M.borderline(table(spark, sf_dir, "embeddings"), "label", "embedding", LOW, HIGH)
+    """Pairs of overlapping groups of vectors whose means lie between the bounds: eight groups of each label, each without a quarter of its vectors."""
+    v = table(spark, sf_dir, "embeddings").where("label is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    v = v.where(F.pmod(F.expr("vec_id div 10") - F.col("k"), F.lit(8)) < 6).select((F.col("label") * 8 + F.col("k")).alias("c"), "embedding")
+    d = M.borderline(v, "c", "embedding")
     return d.select("a", "b", F.round("distance", 5).alias("distance"))
 
 
-#: Labels of the given vectors are no clusters, so their means lie further apart than those of entities.
-LOW, HIGH = 0.12, 1.2
-
 QUERIES = {f.__name__: f for f in (entity_mentions, mention_groups, fallback_mentions, judged_answers, normal_responses, score_texts, prompt_trace, confirmed_pairs, borderline_pairs)}
 
 _ROWS = f"""r AS (SELECT l_orderkey AS answer_id, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_extendedprice AS d, {_NAME} AS name, {_CONTEXT} AS ctx FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -114,7 +114,7 @@ SELECT answer_id, status, (CASE WHEN answer_id % 2 = 0 THEN answer_id % 100 + an
 UNION ALL SELECT answer_id, 'not mentioned → 0.0', 'neutral → 1.0', 'RVS = 0.0 (brand not mentioned)' FROM k WHERE pos < 0""",
     "prompt_trace": "WITH p AS (" + _ENTITIES["prompt_matrix"] + ") SELECT prompt_id, CASE WHEN prompt_id < 'e' THEN intent END AS intent, CASE WHEN prompt_id < '8' THEN 'exact' WHEN prompt_id < 'e' THEN 'fuzzy' ELSE 'none' END AS match FROM p",
     "confirmed_pairs": "SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderkey % 4 = 0",
-    "borderline_pairs": f"""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2),
+    "borderline_pairs": f"""WITH g AS (SELECT label * 8 + k AS label, embedding FROM embeddings, range(8) AS t(k) WHERE label IS NOT NULL AND ((vec_id // 10 - k) % 8 + 8) % 8 < 6), x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM g), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2),
 v AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1), d AS (SELECT a.label::BIGINT AS a, b.label::BIGINT AS b, 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS d FROM v a JOIN v b ON a.label < b.label)
-SELECT a, b, round(d, 5) AS distance FROM d WHERE d BETWEEN {LOW} AND {HIGH} ORDER BY d, a, b LIMIT 20""",
+SELECT a, b, round(d, 5) AS distance FROM d WHERE d BETWEEN 0.12 AND 0.18 ORDER BY d, a, b LIMIT 20""",
 }

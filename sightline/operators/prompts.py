@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +73,7 @@ def adapted(prompts: DataFrame) -> DataFrame:
     return d.select(F.concat_ws(":", "prompt_id", "k.assistant").alias("request_id"), "k.assistant", "k.system", "prompt")
 
 
-def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.75) -> DataFrame:
+def near_word_sets(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.75) -> DataFrame:
     """(id, leader): greedy leaders in id order among texts whose word sets have a Jaccard similarity of at least so much.
 
     Candidates share one of the rarest words of each side (prefix filter, which loses no pair); texts without words stand alone.
@@ -89,3 +92,56 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: fl
     jaccard = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     edges = cand.join(side("a"), "a").join(side("b"), "b").where(jaccard >= similarity).select("a", "b")
     return leaders(t.select("name", "rank"), edges).select(F.col("name").alias("id"), "leader")
+
+
+def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, leader): greedy leaders in id order among texts of one batch (the columns by) whose matching blocks make a ratio over similarity.
+
+    The ratio is twice the characters in matching blocks (longest first, then on both sides of it, as difflib finds them) over the characters of both texts, in lower
+    case and trimmed, the later text against the earlier. Over r it leaves less than 1 - r of all T characters unmatched, so there are at most as many blocks
+    and one more, and the texts share more than T (1.5 r - 1) - 1 pairs of neighbouring characters. So a text is looked up by its rarest pairs only, as many as it cannot do
+    without, and pairs of texts that share fewer are let go: no match is lost. Short texts, which need share none, are looked up by single characters as well.
+    Equal texts are one. Null texts are empty, and empty texts equal; null ids are left out. similarity is above 2/3. Within a batch whose texts are all alike the work is that of their pairs.
+    """
+    import difflib
+
+    r = similarity
+    key = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")
+    t = texts.select(F.col(id_col).alias("rank"), key.alias("by"), F.trim(F.lower(F.coalesce(text_col, F.lit("")))).alias("s")).where("rank is not null")
+    t = written(t, "texts")
+    one = written(t.groupBy("by", "s").agg(F.min("rank").alias("rank")).withColumns({"name": F.col("rank").cast("string"), "n": F.length("s")}), "distinct")
+
+    pieces = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substr("s", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    nth = Window.partitionBy("name", "piece").orderBy("place")
+    each = one.select("name", "by", "n", F.posexplode(pieces).alias("place", "piece")).withColumn("key", F.concat_ws(":", F.row_number().over(nth).cast("string"), "piece")).select("name", "by", "n", "key")
+    each = written(each, "pieces")
+    often = each.groupBy("by", "key").agg(F.count("*").alias("often"))
+    w = Window.partitionBy("name").orderBy("often", "key")
+    least = (1.5 * r - 1) * (1 + r / (2 - r)) * F.col("n") - 1  # of the shortest text that can match
+    prefix = each.join(often, ["by", "key"]).withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n") - 1 - F.greatest(F.ceil(least), F.lit(1)) + 1).select("name", "by", "n", "key")
+    reach = 2 / (1.5 * r - 1)  # texts of no more characters together may match without a pair in common
+    singles = one.where(F.col("n") <= reach * (2 - r) / 2).select("name", "by", "n", F.explode(F.array_distinct(F.split("s", ""))).alias("key"))
+    keys = prefix.unionByName(singles.where("key <> ''").withColumn("key", F.concat(F.lit("1-"), "key")))
+    other = keys.select("by", "key", F.col("name").alias("b"), F.col("n").alias("nb"))
+    cand = keys.join(other, ["by", "key"]).where((F.col("name") < F.col("b")) & (2 * F.least("n", "nb") > r * (F.col("n") + F.col("nb")))).select(F.col("name").alias("a"), "b").distinct()
+
+    have = each.groupBy("name").agg(F.collect_list("key").alias("keys"))
+    side = lambda c: one.join(have, "name", "left").select(F.col("name").alias(c), F.col("rank").alias(f"r{c}"), F.col("s").alias(f"s{c}"), "n", F.coalesce("keys", F.array().cast("array<string>")).alias("keys")).withColumnsRenamed({"n": f"n{c}", "keys": f"k{c}"})
+    shared = F.size(F.array_intersect("ka", "kb")) > (F.col("na") + F.col("nb")) * (1.5 * r - 1) - 1
+    pairs = cand.join(side("a"), "a").join(side("b"), "b").where(shared)
+    later = F.col("ra") > F.col("rb")
+    pairs = pairs.select("a", "b", F.when(later, F.col("sa")).otherwise(F.col("sb")).alias("new"), F.when(later, F.col("sb")).otherwise(F.col("sa")).alias("old"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for new, old in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                m = difflib.SequenceMatcher(None, new, old)
+                keep.append(m.quick_ratio() > r and m.ratio() > r)
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    edges = pairs.mapInArrow(verified, "a string, b string")
+    led = leaders(one.select("name", "rank"), edges)
+    first = one.select("name", F.col("rank").alias("leading"))
+    led = led.join(one.select("name", "by", "s"), "name").join(first.withColumnRenamed("name", "leader"), "leader").select("by", "s", "leading")
+    return t.join(led, ["by", "s"]).select(F.col("rank").alias("id"), F.col("leading").alias("leader"))

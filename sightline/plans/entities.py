@@ -169,10 +169,10 @@ def prompt_requests(spark, sf_dir):
 
 
 def near_dup(spark, sf_dir):
-    """Query texts whose word sets are alike, grouped under the earliest."""
+    """Query texts of one project and type whose matching blocks make more than 0.75 of them, each under the first that leads."""
     from sightline.operators.prompts import near_duplicates
 
-    return near_duplicates(facts(spark, sf_dir, "q"), "query_id", "query_text", 0.6)
+    return near_duplicates(facts(spark, sf_dir, "q"), "query_id", "query_text", by=("project_id", "query_type"))
 
 
 def resilience_expand(spark, sf_dir):

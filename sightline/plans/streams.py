@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sightline.sources.shared import shared_dir
 from sightline.streaming import machines as M
 from sightline.streaming import streams as S
 
@@ -40,7 +41,15 @@ def profile_ttl(spark, sf_dir):
     return M.run_to_end(d, lambda d: M.run_machine(d, ["entity"], M.Profiles(7 * DAY), LATE, bucket=DAY // 1000)).select("entity", "ts")
 
 
+def upserted(spark, sf_dir):
+    """The latest event of each user and type, kept by a continuous upsert."""
+    path, d = shared_dir(spark), S.event_stream(spark, sf_dir)
+    S.upsert_stream(d, path, ["user_id", "event_type"], ["ts", "event_id"])
+    return S.read_upserted(spark, path, d.schema).select("user_id", "event_type", "event_id", "ts")
+
+
 QUERIES = {
+    "stream_upsert": upserted,
     "stream_failure_alerts": failure_alerts,
     "stream_circuits": circuits,
     "stream_sessions": sessions,
@@ -50,6 +59,7 @@ QUERIES = {
     "stream_sliding_load": lambda spark, sf_dir: S.run_available(S.sliding_load(S.event_stream(spark, sf_dir))).groupBy("vendor").agg(F.max("requests").alias("peak"), F.count("*").alias("windows")),
 }
 ORACLES = {
+    "stream_upsert": "SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "stream_failure_alerts": """WITH c AS (SELECT 'v' || (user_id % 6)::VARCHAR AS vendor, event_type <> 'error' AS ok, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id % 6 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
 g AS (SELECT vendor, run FROM c WHERE NOT ok GROUP BY ALL HAVING count(*) >= 2) SELECT vendor, count(*) AS alerts FROM g GROUP BY 1""",
     # a streak opens once with its second failure; it is half open an hour later unless a success came; each later failure in half-open opens again

@@ -5,10 +5,12 @@ Each takes a streaming DataFrame and returns one; run_available() drains what is
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sightline.sources.shared import shared_dir
+from sightline.sources.shared import shared_dir, written
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = 1) -> DataFrame:
@@ -56,21 +58,69 @@ def run_available(stream: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{base}/result")
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], newest: list[str]) -> None:
-    """Continuous ingest, last write wins: each micro-batch is merged into the table at path by key, into alternating folders."""
+#: Buckets of an upserted table; fixed when its first batch is written.
+BUCKETS = 64
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, int]] | None:
+    """(batch, slot of each bucket) of the newest manifest; none before the first batch."""
+    try:
+        m = spark.read.schema("bucket int, slot int, batch long").parquet(f"{path}/manifest")
+    except AnalysisException:  # no such folder yet
+        return None
+    newest = m.agg(F.max("batch")).first()[0]
+    return None if newest is None else (newest, {r["bucket"]: r["slot"] for r in m.where(F.col("batch") == newest).collect()})  # a row for each bucket
+
+
+def _rows_of(spark: SparkSession, path: str, schema: StructType, slots: dict[int, int]) -> DataFrame:
+    """Rows of some buckets in the slots they are in; other folders are pruned."""
+    d = spark.read.schema(StructType([*schema.fields]).add("slot", "integer").add("bucket", "integer")).parquet(f"{path}/data")
+    here = F.lit(False)
+    for k in (0, 1):
+        here = here | ((F.col("slot") == k) & F.col("bucket").isin([b for b, s in slots.items() if s == k]))
+    return d.where(here).drop("slot")
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], newest: list[str], buckets: int = BUCKETS) -> None:
+    """Continuous ingest, last write wins: each micro-batch is merged into the table at path by key. read_upserted reads it.
+
+    Rows live in buckets by hash of the key, and each bucket in one of two slots. A batch reads and rewrites only the buckets it touches, each into the slot
+    that it is not in; one small file, the batch's manifest, then says where every bucket is. Readers follow the newest manifest, so they see all of a batch or nothing
+    of it, and a batch that is run again after a failure makes the same table. No more than two versions of a bucket are kept. Null keys are a key.
+    """
     from sightline.operators.ranks import replace_merge
 
-    spark = stream.sparkSession
+    spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, n: int) -> None:
-        now, before = f"{path}/v{n % 2}", f"{path}/v{(n + 1) % 2}"
-        rows = batch if n == 0 else spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        replace_merge(rows, keys, newest).write.mode("overwrite").parquet(now)
+        rows = written(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "batch")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        before = _current(spark, path)
+        slots = before[1] if before else {}
+        held = {b: slots[b] for b in touched if b in slots}
+        if held:
+            rows = rows.unionByName(_rows_of(spark, path, schema, held))
+        to = {b: 1 - slots.get(b, 1) for b in touched}
+        if touched:
+            slot = F.when(F.col("bucket").isin([b for b, k in to.items() if k]), 1).otherwise(0)
+            merged = written(replace_merge(rows, ["bucket", *keys], newest).withColumn("slot", slot), "merged")
+            # a bucket is one task's work and one folder's files
+            merged.repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "bucket").parquet(f"{path}/data")
+        now = spark.createDataFrame([(b, s, n) for b, s in {**slots, **to}.items()], "bucket int, slot int, batch long")
+        now.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
     q = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start()
     q.awaitTermination()
 
 
+def read_upserted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that upsert_stream keeps at path, as of the newest manifest; empty before the first batch."""
+    now = _current(spark, path)
+    if not now or not now[1]:
+        return spark.createDataFrame([], schema)
+    return _rows_of(spark, path, schema, now[1]).drop("bucket")
+
+
 def run_appended(stream: DataFrame) -> DataFrame:
     """Drains an append-mode stream into a table."""
     base = shared_dir(stream.sparkSession)

@@ -116,7 +116,7 @@ def test_structured_types(spark):
 
 
 def test_upsert_stream(spark, sf_dir, tmp_path):
-    from sightline.streaming.streams import deduplicated, event_stream, run_available, upsert_stream
+    from sightline.streaming.streams import deduplicated, event_stream, read_upserted, run_available, upsert_stream
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     for i in range(2):
@@ -125,5 +125,38 @@ def test_upsert_stream(spark, sf_dir, tmp_path):
     assert stream.isStreaming
     out = deduplicated(event_stream(spark, sf_dir), ["user_id", "event_type"])
     assert run_available(out.groupBy("event_type").count()).count() == events.select("event_type").distinct().count()
-    upsert_stream(event_stream(spark, sf_dir), f"file://{tmp_path}/t", ["user_id"], ["ts", "event_id"])
-    assert spark.read.parquet(f"{tmp_path}/t/v0").count() == events.select("user_id").distinct().count()
+    path = f"file://{tmp_path}/t"
+    upsert_stream(event_stream(spark, sf_dir), path, ["user_id"], ["ts", "event_id"])
+    got = read_upserted(spark, path, events.schema)
+    want = {}
+    for r in sorted(events.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        want[r["user_id"]] = r["event_id"]
+    assert {r["user_id"]: r["event_id"] for r in got.collect()} == want and got.count() == len(want) and got.columns == events.columns
+
+
+def test_upsert_touches_its_buckets_only(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from sightline.streaming.streams import read_upserted, upsert_stream
+
+    path, source = f"file://{tmp_path}/t", f"file://{tmp_path}/in"
+    put = lambda rows: spark.createDataFrame(rows, "k long, v long, n string").coalesce(1).write.mode("append").parquet(source)
+    schema = "k long, v long, n string"
+    put([(i, 1, "a") for i in range(200)] + [(None, 1, "a"), (None, 3, "b")])
+
+    def run():
+        upsert_stream(spark.readStream.schema(schema).parquet(source), path, ["k"], ["v"], 8)
+        return {r["k"]: (r["v"], r["n"]) for r in read_upserted(spark, path, spark.createDataFrame([], schema).schema).collect()}
+
+    assert run() == {**dict.fromkeys(range(200), (1, "a")), None: (3, "b")}
+    files = lambda: {f for f in Path(f"{tmp_path}/t/data").rglob("*.parquet")}
+    before = files()
+    time.sleep(1.1)
+    put([(5, 2, "new"), (5, 1, "old"), (500, 1, "c")])
+    assert run() == {**dict.fromkeys(range(200), (1, "a")), None: (3, "b"), 5: (2, "new"), 500: (1, "c")}
+    assert before <= files() and len(files() - before) <= 2  # one file for each of two buckets, in their other slots
+    time.sleep(1.1)
+    put([(5, 0, "late")])
+    assert run()[5] == (2, "new")
+    assert read_upserted(spark, f"{path}-none", spark.createDataFrame([], schema).schema).collect() == []

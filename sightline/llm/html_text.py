@@ -6,7 +6,8 @@ page is extracted again through the best-voted path of its host that it has; a p
 
 Left out: scripts, styles and form controls; furniture, that is navigation, footers, asides, forms, page headers outside the
 article, hidden elements, and elements one of whose class, id or role names is as a whole a name of furniture (`cookie-notice`, `main-nav`,
-`share`; not `comments-open`, `category-social` or `ad-free`, which only hold such a word); and reader comments. Furniture is kept after all where
+`share`; not `comments-open`, `category-social` or `ad-free`, which only hold such a word); and reader comments. An element named a comment
+(`opinion comment`) is the article where it holds most of the page's running text and what stands outside it, headings and furniture aside, is next to nothing. Furniture is kept after all where
 it holds most of the page's running text and no article stands outside it, so a form or a hidden element around a whole page loses nothing.
 Names never take words out of the middle of a sentence. Blocks are what block-level tags delimit; `<br>` is white space inside a block.
 
@@ -31,6 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES, SALTS, PATHS = 4 << 20, 16, 32
+#: How many times the other running text of a page an element named a comment must hold to be its article.
+NEXT_TO_NONE = 20
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Tags.
 BLOCK = frozenset(
@@ -268,7 +272,8 @@ class Page:
         flush()
 
     def _drop(self) -> None:
-        """Decides which nodes are left out: all comments, and furniture unless the page's running text is in it."""
+        """Decides which nodes are left out: comments unless the page's article is in them, and furniture unless its running text is."""
+        self._spare()
         size = len(self.parents)
         furnished, self.dropped = [False] * size, [False] * size
         for i in range(1, size):
@@ -290,6 +295,26 @@ class Page:
             drop = self.kinds[i] == REMARK or (self.kinds[i] == FURNISHED and (main_text > 0 or inner[i] * 2 <= inner[0]))
             self.dropped[i] = drop or self.dropped[self.parents[i]]
 
+    def _spare(self) -> None:
+        """Makes a plain node of one that is named a comment but holds the page's article: more than half of all running text, where what is neither comment
+        nor furniture has, headings aside, next to none."""
+        if REMARK not in self.kinds:
+            return
+        size = len(self.parents)
+        other, inner, plain = [False] * size, [0] * size, 0
+        for i in range(1, size):
+            other[i] = other[self.parents[i]] or self.kinds[i] != PLAIN
+        for node, tag, text, links in self.blocks:
+            free = max(0, len(text) - 2 * links)
+            inner[node] += free
+            if not other[node] and tag not in _HEADINGS:
+                plain += free
+        for i in range(size - 1, 0, -1):
+            inner[self.parents[i]] += inner[i]
+        for i in range(1, size):
+            if self.kinds[i] == REMARK and inner[i] * 2 > inner[0] and plain * NEXT_TO_NONE <= inner[i]:
+                self.kinds[i] = PLAIN
+
     def best(self) -> tuple[str, float]:
         """Path and score of the best container; an empty path where the page has none."""
         size = len(self.parents)

@@ -25,6 +25,20 @@ def test_broken_markup():
     assert X.extract("<div>" * 3000 + "deep", None) == "deep"
 
 
+def test_an_article_that_is_named_a_comment():
+    said = "A paragraph of the opinion piece, which goes on for quite a while. " * 8
+    page = "<body><h1>Title</h1><div class='%s'><p>%s</p><p>%s</p><div class='comments'><p>Reader: I disagree.</p></div></div><footer>Copyright x</footer></body>"
+    for name in ("comment", "opinion comment", "op-comment", "blog-comment"):
+        assert X.extract(page % (name, said, said), None).split("\n\n")[-2:] == [said.strip()] * 2
+        assert "Copyright" not in X.extract(page % (name, said, said), None) and "Reader" not in X.extract(page % (name, said, said), None)
+    # beside an article, however short, and in a list of many, comments are comments
+    beside = "<body><div class='post'><p>A short article of one sentence only.</p></div><div class='comments'><p>%s</p></div></body>"
+    assert X.extract(beside % (said[:500]), None) == "A short article of one sentence only."
+    many = "<body><article><p>Article text that is an article.</p></article>" + "<div class='comment'><p>%s</p></div>" % said * 3 + "</body>"
+    assert X.extract(many, None) == "Article text that is an article."
+    assert X.extract("<body>" + "<div class='comment'><p>%s</p></div>" % said * 3 + "</body>", None) == ""
+
+
 def test_consensus(spark, monkeypatch):
     good = '<body><div class="story"><p>%s</p></div><div class="more"><p>%s</p></div></body>'
     rows = [(i, f"http://H.example/{i}", good % ("long text, " * 30, "short")) for i in range(6)]

@@ -1,9 +1,10 @@
 """State machines in event time: what a key's rows do depends on their own times and not on how files, batches and tasks deliver them.
 
-A key's rows wait in its state, in buckets of time, until the watermark has passed their bucket; then they are taken in order of time and id.
-Deadlines that a machine sets fall due between rows, in the same order, whether or not another row comes. A bucket is one entry of the
-state and is written and read by itself, so a batch is taken as the pieces it comes in, and no more than the rows between a key's oldest
-open bucket and the watermark wait. Rows that come later than the watermark allows are dropped by Spark, which counts them. What is newer
+A key's rows wait in the state, in buckets of time, until the watermark has passed their bucket; then they are taken in order of time and id.
+Deadlines that a machine sets fall due between rows, in the same order, whether or not another row comes. Keys are dealt over SHARDS entries of
+the state, as a call for each key costs far more than its few rows do: a bucket of a shard is one entry of the
+state and is written and read by itself, so a batch is taken as the pieces it comes in, and no more than the rows between a shard's oldest
+open bucket and the watermark wait. The states of a shard's keys are one entry too. Rows that come later than the watermark allows are dropped by Spark, which counts them. What is newer
 than the watermark stays in the state; run_to_end closes a stream of a given table, so that nothing stays.
 
 Rows of a null time never pass a watermark and are dropped. Keys may be null, a null id is 0. Repeated rows are taken as often as they come; rows of one
@@ -25,6 +26,8 @@ from sightline.sources.shared import shared_dir
 
 #: Milliseconds of a bucket: rows wait for the watermark and for this long.
 BUCKET = 60_000
+#: Shards of keys; a key with very many rows is a shard's main load.
+SHARDS = 1024
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CLOSING = "2250-01-01"
 _CLOSING_US = 8_835_955_200_000_000
@@ -130,7 +133,7 @@ class Profiles(Machine):
 
 
 class _Keyed(StatefulProcessor):
-    """Runs a machine for each key; the key's columns are strings."""
+    """Runs a machine for each key of a shard; the key's columns are strings."""
 
     def __init__(self, machine: Machine, keys: list[str], bucket: int):
         self.machine, self.keys, self.bucket = machine, keys, bucket
@@ -139,56 +142,61 @@ class _Keyed(StatefulProcessor):
         text = T.StructType().add("json", "string")
         self.handle = handle
         self.held = handle.getMapState("held", T.StructType().add("bucket", "long"), text)
-        self.state = handle.getValueState("state", text)
+        self.states = handle.getValueState("states", text)
+        self.passed: dict[Any, int] = {}
 
     def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
         for piece in rows:
-            if piece.empty:
-                continue
             piece = piece[piece["us"] < _CLOSING_US]
             by: dict[int, list] = {}
-            for us, i, values in zip(piece["us"].tolist(), piece["row_id"].tolist(), piece["vals"].tolist(), strict=True):
-                by.setdefault(us // 1000 // self.bucket * self.bucket, []).append((us, i, values))
+            for row in zip(piece["us"].tolist(), piece["row_id"].tolist(), piece["vals"].tolist(), piece["of"].tolist(), strict=True):
+                by.setdefault(row[0] // 1000 // self.bucket * self.bucket, []).append(row)
             for start, new in by.items():
                 if self.held.containsKey((start,)):
                     new = json.loads(self.held.getValue((start,))[0]) + new
                 else:
                     self.handle.registerTimer(start + self.bucket)
                 self.held.updateValue((start,), (json.dumps(new),))
-        yield self._frame(key, [])
+        yield self._frame([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:
         until = timerValues.getCurrentWatermarkInMs() // self.bucket * self.bucket
-        state = json.loads(self.state.get()[0]) if self.state.exists() else None
-        before, out = state and state.get("due"), []
+        if self.passed.get(key) == until:  # an earlier timer of this batch took all that is due
+            return
+        self.passed[key] = until
+        states: dict[str, dict] = json.loads(self.states.get()[0]) if self.states.exists() else {}
+        out: list[tuple] = []
 
-        def pass_deadlines(state, end):
+        def pass_deadlines(of, state, end):
             while state and state.get("due") is not None and state["due"] <= end:
                 state, rows = self.machine.due(state)
-                out.extend(rows)
+                out.extend((of, *r) for r in rows)
             return state
 
         for start in sorted(k[0] for k in self.held.keys() if k[0] < until):
-            for ts, _, values in sorted(json.loads(self.held.getValue((start,))[0])):
-                state, rows = self.machine.row(pass_deadlines(state, ts), ts, tuple(json.loads(values).values()))
-                out.extend(rows)
+            for ts, _, values, of in sorted(json.loads(self.held.getValue((start,))[0]), key=lambda r: r[:3]):
+                states[of], rows = self.machine.row(pass_deadlines(of, states.get(of), ts), ts, tuple(json.loads(values).values()))
+                out.extend((of, *r) for r in rows)
             self.held.removeKey((start,))
-        state = pass_deadlines(state, until * 1000 - 1)
-        if state is None:
-            self.state.clear()
+        states = {of: pass_deadlines(of, state, until * 1000 - 1) for of, state in states.items()}
+        states = {of: state for of, state in states.items() if state is not None}
+        if states:
+            self.states.update((json.dumps(states),))
         else:
-            self.state.update((json.dumps(state),))
-            if state.get("due") is not None and state["due"] != before:
-                self.handle.registerTimer((state["due"] // 1000 // self.bucket + 1) * self.bucket)
-        yield self._frame(key, out)
+            self.states.clear()
+        due = min((s["due"] for s in states.values() if s.get("due") is not None), default=None)
+        if due is not None:
+            self.handle.registerTimer((due // 1000 // self.bucket + 1) * self.bucket)
+        yield self._frame(out)
 
-    def _frame(self, key: Any, rows: list[tuple]):
+    def _frame(self, rows: list[tuple]):
         import pandas as pd
 
         names = [c.split(" ")[0] for c in self.machine.gives.split(", ")]
-        d = pd.DataFrame(rows, columns=names)
+        d = pd.DataFrame([r[1:] for r in rows], columns=names)
+        of = [json.loads(r[0]) for r in rows]
         for i, k in enumerate(self.keys):
-            d.insert(i, k, pd.Series([key[i]] * len(rows), dtype=object))
+            d.insert(i, k, pd.Series([x[k] for x in of], dtype=object))
         return d
 
     def close(self) -> None:
@@ -202,9 +210,11 @@ def run_machine(stream: DataFrame, keys: list[str], machine: Machine, late: str
     """
     d = stream.withColumn("at_time", F.col(ts).cast("timestamp")).withWatermark("at_time", late)
     values = F.to_json(F.struct(*(F.col(c) for c in machine.reads)), {"ignoreNullFields": "false"}) if machine.reads else F.lit("{}")
-    d = d.where("at_time is not null").select(*(F.col(k).cast("string").alias(k) for k in keys), F.unix_micros("at_time").alias("us"), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("row_id"), values.alias("vals"), "at_time")
+    of = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)), {"ignoreNullFields": "false"})
+    d = d.where("at_time is not null").select(of.alias("of"), F.unix_micros("at_time").alias("us"), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("row_id"), values.alias("vals"), "at_time")
+    d = d.withColumn("shard", F.pmod(F.xxhash64("of"), F.lit(SHARDS)).cast("int"))
     schema = ", ".join([*(f"{k} string" for k in keys), machine.gives])
-    out = d.groupBy(*keys).transformWithStateInPandas(_Keyed(machine, keys, bucket), schema, "append", "eventTime")
+    out = d.groupBy("shard").transformWithStateInPandas(_Keyed(machine, keys, bucket), schema, "append", "eventTime")
     return out.withColumn("ts", F.timestamp_micros("ts"))
 
 

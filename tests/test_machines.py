@@ -80,6 +80,21 @@ def test_files_do_not_matter(spark, tmp_path):
     assert {k for _, k, _, _ in one} == {"alert", "open", "half_open", "closed"}
 
 
+def test_keys_share_shards(spark, tmp_path, monkeypatch):
+    """Many keys of few rows, some of them null, in two shards: each is by itself, and calls are as many as shards and buckets."""
+    monkeypatch.setattr(M, "SHARDS", 2)
+    rng = random.Random(5)
+    rows = [(f"e{rng.randrange(60)}" if rng.random() < 0.95 else None, f"d{rng.randrange(3)}", 1_700_000_000 * S + rng.randrange(24 * 3600) * S, i) for i in range(600)]
+    spark.createDataFrame(rows, "entity string, part string, us long, id long").selectExpr("entity", "part", "timestamp_micros(us) AS ts", "id").repartition(3).write.parquet(f"{tmp_path}/e")
+    want = []
+    for k in {r[:2] for r in rows}:
+        mine = sorted(r[2:] for r in rows if r[:2] == k)
+        want += [(str(k[0]), k[1], ts) for ts, _ in play(M.Profiles(3600 * S), [(ts, ()) for ts, _ in mine])[0]]
+    got = streamed(spark, f"{tmp_path}/e", 1, M.Profiles(3600 * S), ["entity", "part"], [])
+    stamp = lambda t: int(t.timestamp() * S) if t.tzinfo else int(t.replace(tzinfo=timezone.utc).timestamp() * S)
+    assert sorted((str(e), p, stamp(ts)) for e, p, ts, _ in got) == sorted(want) and len({r[0] for r in got}) > 40
+
+
 def test_empty_and_late(spark, tmp_path):
     df = spark.sql("SELECT 'v' AS vendor, timestamp '2024-01-01 00:00:00' AS ts, 1L AS id, false AS ok")
     df.where("false").write.parquet(f"{tmp_path}/none")

@@ -45,9 +45,10 @@ def _windows(text: Column, sizes: Column) -> Column:
     """Distinct parts of a text that begin and end with whole runs, sizes runs long."""
 
     def cut(pieces: Column) -> Column:
-        ends = F.transform(pieces, lambda p: F.rlike(p, F.lit(f"^[{T.EDGE}]")))
-        at = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.get(ends, i - 1))
-        of = lambda k: F.transform(F.filter(at, lambda i: i + 2 * k - 2 <= F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, 2 * k - 1), ""))
+        # pieces take turns, so runs are every other one, from the first or the second
+        first = F.when(F.rlike(pieces[0], F.lit(f"^[{T.EDGE}]")), 1).otherwise(2)
+        at = lambda k: T.bind(F.struct(first.alias("i"), (F.size(pieces) - 2 * k + 2).alias("last")), lambda x: F.when(x["i"] <= x["last"], F.sequence(x["i"], x["last"], F.lit(2))).otherwise(F.array().cast("array<int>")))
+        of = lambda k: F.transform(at(k), lambda i: F.array_join(F.slice(pieces, i, 2 * k - 1), ""))
         return F.array_distinct(F.flatten(F.transform(sizes, of)))
 
     none = F.array().cast("array<string>")
@@ -79,13 +80,15 @@ def _in_prompt(prompt: Column, all_names: Column) -> Column:
     return F.exists(all_names, lambda n: F.contains(F.lower(F.coalesce(prompt, F.lit(""))), n))
 
 
-def resolve(answers: DataFrame, names: DataFrame) -> DataFrame:
+def resolve(answers: DataFrame, names: DataFrame, near_steps: bool = True) -> DataFrame:
     """(answer_id, project, brand, role, step, aliases, at, sentence, context, mention_type, is_recommended): one row for each brand that an answer mentions.
 
     answers: (answer_id, project, text, prompt). A brand whose name or alias stands in the prompt is no mention. aliases: for exact, the names
     found; otherwise the words, by sound each time they occur. at is the earliest place of any of them, in code points from 0.
+    The first step does not depend on the others: without near_steps its rows are the same, and words are not matched.
     """
     a = answers.select("answer_id", "project", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("prompt", F.lit("")).alias("prompt")).where("project is not null")
+    a = written(a, "answers")
     n = written(names.where("name <> ''").groupBy("project", "brand", "name").agg(F.min("role").alias("role"), F.min("ord").alias("ord"), F.min("n").alias("n")).withColumn("core", _core(F.col("name"))), "names")
 
     sizes = n.where("core <> ''").groupBy("project").agg(F.array_sort(F.collect_set((F.size(_pieces(F.col("core"))) + 1).cast("int") / 2)).cast("array<int>").alias("sizes"))
@@ -94,12 +97,14 @@ def resolve(answers: DataFrame, names: DataFrame) -> DataFrame:
     bare = a.join(n.where("core = ''"), "project").where(F.contains(F.lower("text"), F.lower("name")))
     exact = windows.join(n, ["project", "core"]).unionByName(bare, allowMissingColumns=True).select("answer_id", "project", "brand", F.lit(0).alias("step"), "n", F.col("name").alias("s"))
 
-    each = a.select("answer_id", "project", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(w)))).alias("s")).where(F.length("s") >= LEAST)
-    found = matched(each.select("project", "s").distinct(), n.where(F.length("name") >= LEAST))
-    found = found.groupBy("project", "s", "brand").agg(F.bool_or("sound").alias("sound"), F.bool_or(F.col("same") & (F.length("name") <= SHORT)).alias("short")).where("sound or short")
-    near = each.join(written(found, "words"), ["project", "s"]).select("answer_id", "project", "brand", F.explode(F.array_compact(F.array(F.when(F.col("sound"), 1), F.when(F.col("short"), 2)))).alias("step"), F.lit(0).alias("n"), "s")
+    hits = exact
+    if near_steps:
+        each = a.select("answer_id", "project", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(w)))).alias("s")).where(F.length("s") >= LEAST)
+        found = matched(each.select("project", "s").distinct(), n.where(F.length("name") >= LEAST))
+        found = found.groupBy("project", "s", "brand").agg(F.bool_or("sound").alias("sound"), F.bool_or(F.col("same") & (F.length("name") <= SHORT)).alias("short")).where("sound or short")
+        hits = exact.unionByName(each.join(written(found, "words"), ["project", "s"]).select("answer_id", "project", "brand", F.explode(F.array_compact(F.array(F.when(F.col("sound"), 1), F.when(F.col("short"), 2)))).alias("step"), F.lit(0).alias("n"), "s"))
 
-    hits = exact.unionByName(near).groupBy("answer_id", "project", "brand").agg(*(F.array_sort(F.collect_set(F.when(F.col("step") == k, F.struct("n", "s")))).alias(f"h{k}") for k in range(3)))
+    hits = hits.groupBy("answer_id", "project", "brand").agg(*(F.array_sort(F.collect_set(F.when(F.col("step") == k, F.struct("n", "s")))).alias(f"h{k}") for k in range(3)))
     brands = n.groupBy("project", "brand").agg(F.first("role").alias("role"), F.min("ord").alias("ord"), F.collect_set(F.lower("name")).alias("all"))
     d = a.join(hits, ["answer_id", "project"]).join(brands, ["project", "brand"]).where(~_in_prompt(F.col("prompt"), F.col("all")))
 
@@ -128,16 +133,19 @@ def match_extracted(answers: DataFrame, entities: DataFrame, names: DataFrame) -
     not in the text. discovered: (answer_id, position, name) of entities that went to no brand and do not match the target.
     """
     a = answers.select("answer_id", "project", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("prompt", F.lit("")).alias("prompt")).where("project is not null")
+    a = written(a, "answers")
     n = written(names.where("name <> ''").select("project", "brand", "role", "ord", "n", "name").distinct(), "names")
     e = written(entities.where("name <> ''").join(a.select("answer_id", "project"), "answer_id").select("answer_id", "project", "position", F.col("name").alias("s")), "entities")
     fits = matched(e.select("project", "s").distinct(), n).where("same")
     fits = fits.groupBy("project", "s").agg(F.array_sort(F.collect_set(F.struct("ord", "brand", "role"))).alias("fits"))
     of = e.join(fits, ["project", "s"], "left").select("answer_id", F.struct("position", "s", F.coalesce("fits", F.expr("cast(array() as array<struct<ord: int, brand: string, role: string>>)")).alias("fits")).alias("e"))
     of = of.groupBy("answer_id").agg(F.array_sort(F.collect_list("e")).alias("entities"))
-    brands = n.groupBy("project", "brand").agg(F.collect_set("name").alias("all"))
-    lower, latin = F.lower("prompt"), N.latin(F.col("prompt"))
-    held = a.where("prompt <> ''").join(brands, "project").where(F.exists("all", lambda x: F.contains(lower, F.lower(x)) | F.contains(latin, N.latin(x)))).groupBy("answer_id").agg(F.collect_set("brand").alias("held"))
-    d = a.join(of, "answer_id").join(held, "answer_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    # brands meet the distinct prompts of a project, both in Latin letters beforehand
+    brands = written(n.groupBy("project", "brand").agg(F.collect_set(F.struct(F.lower("name").alias("lower"), N.latin(F.col("name")).alias("latin"))).alias("all")), "brands")
+    prompts = a.where("prompt <> ''").select("project", "prompt").distinct()
+    prompts = written(prompts.select("project", "prompt", F.lower("prompt").alias("lower"), N.latin(F.col("prompt")).alias("latin")), "prompts")
+    held = prompts.join(brands, "project").where(F.exists("all", lambda x: F.contains("lower", x["lower"]) | F.contains("latin", x["latin"]))).groupBy("project", "prompt").agg(F.collect_set("brand").alias("held"))
+    d = a.join(of, "answer_id").join(held, ["project", "prompt"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
 
     # one pass over an answer's entities: what brands have taken so far, and what each entity went to
     kind = "struct<taken: array<string>, rows: array<struct<position: int, s: string, brand: string, role: string, found: boolean>>>"

@@ -35,14 +35,14 @@ def named_answers(spark, sf_dir):
     return g.select("answer_id", (1 + F.col("answer_id") % 4).cast("int").alias("project"), F.array_join(F.transform("rows", lambda r: r["body"]), "").alias("text"), F.expr(_PROMPT).alias("prompt"))
 
 
-def _resolved(spark, sf_dir):
-    d = resolve(named_answers(spark, sf_dir), brand_names(spark, sf_dir))
+def _resolved(spark, sf_dir, near_steps=True):
+    d = resolve(named_answers(spark, sf_dir), brand_names(spark, sf_dir), near_steps)
     return d.select("answer_id", "brand", "role", "step", F.array_join("aliases", "|").alias("aliases"), "at", "sentence", "mention_type", F.length("context").cast("long").alias("context_chars"))
 
 
 def resolved_mentions(spark, sf_dir):
     """Brands that answers name as they are written."""
-    return _resolved(spark, sf_dir).where("step = 'exact'").drop("step")
+    return _resolved(spark, sf_dir, near_steps=False).where("step = 'exact'").drop("step")
 
 
 def fuzzy_mentions(spark, sf_dir):

@@ -38,16 +38,16 @@ def parsed(answers: DataFrame) -> DataFrame:
 def by_entity(mentions: DataFrame, contexts: int = 5) -> DataFrame:
     """(key, name, type, mentions, answers, contexts): mentions of one entity, under its first spelling, with its first few contexts in alphabetical order.
 
-    Contexts are made distinct and ranked before they are collected, so a frequent entity holds no more than these."""
-    m = mentions.withColumn("key", mention_key(F.col("name"))).where("key <> ''")
+    Mentions are read once: the first one of an entity in an answer stands for the answer, and what is counted by entity and context is ranked within the entity,
+    so a frequent entity holds no more than these contexts."""
+    m = mentions.withColumn("key", mention_key(F.col("name"))).where("key <> ''").withColumn("context", F.nullif("context", F.lit("")))
+    m = m.withColumn("new", (F.row_number().over(Window.partitionBy("answer_id", "key").orderBy("position")) == 1).cast("long"))
     first = F.min(F.struct("answer_id", "position", "name", "type"))
-    g = m.groupBy("key").agg(first.alias("f"), F.count("*").alias("mentions"))
-    a = m.select("key", "answer_id").distinct().groupBy("key").agg(F.count("*").alias("answers"))
-    c = m.where("context <> ''").select("key", "context").distinct()
-    c = c.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("context"))).where(F.col("n") <= contexts)
-    c = c.groupBy("key").agg(F.array_sort(F.collect_list("context")).alias("contexts"))
-    out = g.join(a, "key").join(c, "key", "left")
-    return out.select("key", "f.name", "f.type", "mentions", "answers", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
+    c = m.groupBy("key", "context").agg(first.alias("f"), F.count("*").alias("mentions"), F.sum("new").alias("answers"))
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.col("context").asc_nulls_last())))
+    few = F.array_sort(F.collect_list(F.when(F.col("n") <= contexts, F.col("context"))))
+    g = c.groupBy("key").agg(F.min("f").alias("f"), F.sum("mentions").alias("mentions"), F.sum("answers").alias("answers"), few.alias("contexts"))
+    return g.select("key", "f.name", "f.type", "mentions", "answers", "contexts")
 
 
 def echoed(prompt: Column, names: list[Column]) -> Column:

@@ -38,3 +38,16 @@ def test_judged_falls_back(spark):
 def test_confirmed(spark):
     d = spark.createDataFrame([(i, v) for i, v in enumerate(['{"same_entity":true,"confidence":0.8}', '{"same_entity":true}', "x", None, '{"same_entity":true,"confidence":0.79}'])], "i int, verdict string")
     assert [r["i"] for r in M.confirmed(d).collect()] == [0]
+
+
+def test_by_entity_reads_mentions_once(spark):
+    m = spark.range(40).selectExpr("id % 7 AS answer_id", "id AS position", "concat('N', id % 3) AS name", "CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN NULL ELSE concat('c', id % 9) END AS context", "'org' AS type")
+    d = M.by_entity(m, 3)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    want = {}
+    for r in m.orderBy("answer_id", "position").collect():
+        w = want.setdefault(r["name"].lower(), [r["name"], 0, set(), set()])
+        w[1] += 1
+        w[2].add(r["answer_id"])
+        w[3] |= {r["context"]} - {"", None}
+    assert {r["key"]: [r["name"], r["mentions"], r["answers"], r["contexts"]] for r in d.collect()} == {k: [n, c, len(a), sorted(x)[:3]] for k, (n, c, a, x) in want.items()}

@@ -139,16 +139,23 @@ def failure_streaks(calls: DataFrame, least: int, bucket: int = 3600) -> DataFra
 def sliding_load(calls: DataFrame, seconds: int, widths: int = 8) -> DataFrame:
     """Requests and tokens of the vendor's last seconds, at each call.
 
-    A vendor's time is cut into buckets of so many widths; calls of a bucket's last seconds are looked at in the next one as well, so each bucket is a task's work by itself.
-    Calls of a null time see one another only.
+    A call counts from its time on and no longer once the seconds are over, so a running sum of both gives each call its figures, however many calls are near it.
+    A vendor's time is cut into buckets of so many widths; what still counts at the end of a bucket counts from the start of the next one, so each bucket is a task's
+    work by itself. tokens are whole numbers. Calls of a null time see one another only.
     """
     us, reach = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
-    d = calls.select("call_id", "vendor", "tokens", us.alias("us")).withColumn("own", F.floor(F.col("us") / (reach * widths)))
-    edge = F.col("us") + reach >= (F.col("own") + 1) * (reach * widths)
-    d = d.withColumn("bucket", F.explode(F.when(edge, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
-    w = Window.partitionBy("vendor", "bucket").orderBy("us").rangeBetween(-reach, 0)
-    d = d.select("call_id", "vendor", F.count("*").over(w).alias("requests"), F.sum("tokens").over(w).alias("load"), "own", "bucket")
-    return d.where(F.col("own").eqNullSafe(F.col("bucket"))).drop("own", "bucket")
+    d = calls.select("call_id", "vendor", "tokens", us.alias("us")).withColumn("bucket", F.floor(F.col("us") / (reach * widths)))
+    edge, over = (F.col("bucket") + 1) * (reach * widths), F.col("us") + reach + 1
+    none = F.lit(None).cast(calls.schema["call_id"].dataType)
+    row = lambda at, bucket, sign, call_id: F.struct(at.alias("us"), bucket.alias("bucket"), F.lit(sign).alias("sign"), call_id.alias("call_id"), F.lit(call_id is not none).alias("own"))
+    here, after = F.col("bucket"), F.col("bucket") + 1
+    starts = row(F.col("us"), here, 1, F.col("call_id"))
+    ends = F.when(over < edge, F.array(starts, row(over, here, -1, none))).when(over >= edge, F.array(starts, row(edge, after, 1, none), row(over, after, -1, none)))
+    d = d.select("vendor", "tokens", F.explode(F.coalesce(ends, F.array(starts))).alias("r")).select("vendor", "tokens", "r.*")
+    w = Window.partitionBy("vendor", "bucket").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    known = F.sum(F.when(F.col("tokens").isNotNull(), F.col("sign")).otherwise(0)).over(w)
+    load = F.sum(F.coalesce("tokens", F.lit(0)) * F.col("sign")).over(w)
+    return d.select("call_id", "vendor", F.sum("sign").over(w).alias("requests"), F.when(known > 0, load).alias("load"), "own").where("own").drop("own")
 
 
 def run_summary(calls: DataFrame) -> DataFrame:

@@ -44,3 +44,11 @@ def test_load(spark):
     late = spark.createDataFrame([(1, "a", None, False, 2), (2, "a", None, True, 3)], "call_id long, vendor string, ts timestamp, ok boolean, tokens long")
     assert {(r["call_id"], r["requests"], r["load"]) for r in sliding_load(late, 60).collect()} == {(1, 2, 5), (2, 2, 5)}
     assert failure_streaks(late, 1).count() == 1
+
+
+def test_load_is_a_running_sum(spark):
+    """No frame slides over the calls near a call, and calls without tokens have no load."""
+    df = spark.createDataFrame([(1, "a", START, True, None), (2, "a", START + timedelta(seconds=200), True, 5), (3, "a", START + timedelta(seconds=210), True, None)], "call_id long, vendor string, ts timestamp, ok boolean, tokens long")
+    d = sliding_load(df, 60)
+    assert "RangeFrame, -" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in d.select("call_id", "requests", "load").collect()} == {(1, 1, None), (2, 1, 5), (3, 2, 5)}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,12 +47,18 @@ def bare_domain(raw: Column) -> Column:
     return F.when(~F.contains(F.regexp_extract(F.trim(raw), r"^(?:https://)?(?:http://)?([^/]*)", 1), F.lit("@")) & d.rlike(r"^(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$"), d)
 
 
+def composed_array(s: pa.Array, rows: int = 64) -> pa.Array:
+    """Strings in NFC, so many rows at a time."""
+    parts = (s.slice(lo, rows).to_pylist() for lo in range(0, len(s), rows))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in p], pa.string()) for p in parts)])
+
+
 def composed(text: Column) -> Column:
-    """Unicode NFC; only rows with letters beyond ASCII go through Python, in Arrow batches."""
+    """Unicode NFC; only rows with letters beyond ASCII go through Python, in Arrow batches of which few rows at a time are Python strings."""
 
-    @F.pandas_udf("string")
-    def nfc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC")
+    @F.arrow_udf("string")
+    def nfc(s: pa.Array) -> pa.Array:
+        return composed_array(s)
 
     return F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 

@@ -74,3 +74,14 @@ def test_scoped_metrics_of_all_categories(spark, sf_dir):
     d = joined(spark, sf_dir).where("project_id = 2 and provider in ('A-F', 'N-O')").where(F.col("day").between(F.date_sub(F.lit(ASOF).cast("date"), 365), F.lit(ASOF).cast("date")))
     assert {r["provider"]: r["checks"] for r in scoped_metrics(spark, sf_dir).collect()} == {r["provider"]: r["count"] for r in d.groupBy("provider").count().collect()}
     assert d.where("category is null or category = ''").count() > 0
+
+
+def test_composed_by_rows():
+    """Null, empty and decomposed strings in an Arrow array that is longer than what is taken at once, one that is a slice, and none."""
+    import pyarrow as pa
+
+    from sightline.functions.catalog import composed_array
+
+    a = pa.array([None, "", "a\u0308", "\u0435\u0308x", "plain"] * 50)
+    want = [None, "", "\u00e4", "\u0451x", "plain"] * 50
+    assert composed_array(a).to_pylist() == want and composed_array(a.slice(7), 3).to_pylist() == want[7:] and composed_array(a.slice(0, 0)).to_pylist() == []

@@ -103,3 +103,36 @@ def test_dedup_removes_rows_not_ids(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
     df = spark.createDataFrame([(3, a), (7, a), (7, b), (8, b), (9, c), (9, c)], "doc_id long, text string")
     assert sorted(map(tuple, S.dedup(df).collect())) == [(3, a), (7, b), (9, c)]
+
+
+def test_unlike_texts_of_one_common_part_make_no_pairs(spark, monkeypatch):
+    """Copies with one to nine edits each: most are like the original or nothing, and share band keys with all others."""
+    from pyspark.sql import functions as F
+
+    from sightline.llm import minhash as M
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(400):
+        w = list(base)
+        for k, at in enumerate(rng.sample(range(5, 145), 1 + i % 9)):
+            w[at] = f"e{i}x{k}"
+        texts[i] = " ".join(w)
+    sets = {i: M.shingle_set(t.encode(), M.Hasher(5)) for i, t in texts.items()}
+    inter = lambda a, b: len(set(sets[a].tolist()) & set(sets[b].tolist()))
+    alike = {(a, b) for a in texts for b in range(a) if (k := inter(a, b)) / (len(sets[a]) + len(sets[b]) - k) >= 0.8}
+    low = {i: i for i in texts}
+    for _ in texts:
+        for a, b in alike:
+            low[a] = low[b] = min(low[a], low[b])
+    compared, verified = [], M._verified
+    monkeypatch.setattr(M, "_verified", lambda pairs, *r: compared.append(pairs.count()) or verified(pairs, *r))
+    nodes = spark.createDataFrame([(i, M.band_keys(s).tolist()) for i, s in sets.items()], "th long, bands array<long>")
+    got = {r["node"]: r["component"] for r in M.groups(nodes, spark.createDataFrame(list(texts.items()), "th long, text string")).collect()}
+    assert got == {i: c for i, c in low.items() if any(i in p for p in alike)} and 20 < len(got) < 300
+    assert sum(compared) < 10 * len(texts)
+    each = spark.createDataFrame([(i, i, s.view("int64").tolist()) for i, s in sets.items()], "th long, g long, set array<long>")
+    assert {(r["b"], r["a"]) for r in M._candidates(each, 0.8).collect()} >= alike
+    few = nodes.where(F.col("th") < 0)
+    assert M.groups(few, spark.createDataFrame([], "th long, text string")).collect() == []

@@ -35,10 +35,12 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> Dat
     """(a, b, distance) of all pairs a < b within a cosine distance, exactly; zero and null vectors have no neighbours.
 
     Some vectors, two for every ROWS (a sample, the smallest by a hash of the id), are pivots; each vector lies with its nearest one.
-    By the triangle inequality on angles, neighbours of a vector lie with pivots whose radius reaches it. What lies with a pivot, and what probes it, are
-    counted first and dealt over as many blocks of ROWS rows as that takes; each pair of blocks is one matrix product in one task.
+    By the triangle inequality on angles, neighbours of a vector lie with pivots whose radius reaches it; of two vectors, the one with the later pivot probes the
+    other's. What lies with a pivot, and what probes it, are counted first and dealt over as many blocks of ROWS rows as that takes; each pair of blocks
+    is one matrix product in one task. Python gives the numbers of the pivots only, Spark makes the copies, in the type that the vectors came in.
     """
-    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    kind = "array<float>" if df.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).where("id is not null and v is not null")
     v = v.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     v = written(v.withColumn("at", F.monotonically_increasing_id()), "vectors")
     sample = v.orderBy(F.xxhash64("id"), "id", "at").limit(min(MOST_PIVOTS, max(PIVOTS, 2 * (v.count() // ROWS)))).collect()
@@ -47,44 +49,49 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, distance: float) -> Dat
     pivots = _unit([r["v"] for r in sample])
     theta = math.acos(max(-1.0, min(1.0, 1.0 - distance))) + 1e-9
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (x.slice(lo, 1024) for x in batches for lo in range(0, x.num_rows, 1024))
+
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            angle = np.arccos(np.clip(_lists(b.column(1)) @ pivots.T, -1, 1)) if b.num_rows else np.zeros((0, 1))
-            p = angle.argmin(axis=1) if b.num_rows else np.zeros(0, np.int64)
+        for b in parts(batches):
+            angle = np.arccos(np.clip(_lists(b.column(1)) @ pivots.T, -1, 1))
+            p = angle.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.astype(np.int32)), pa.array(angle[np.arange(len(p)), p])], names=["id", "v", "at", "p", "angle"])
 
-    homes = written(v.select("id", "v", "at").mapInArrow(home, "id long, v array<double>, at long, p int, angle double"), "homes")
+    homes = written(v.select("id", "v", "at").mapInArrow(home, f"id long, v {kind}, at long, p int, angle double"), "homes")
     held = {r["p"]: r for r in homes.groupBy("p").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()}  # a row for each pivot
     keys = np.array(sorted(held))
     radius = np.array([held[k]["r"] for k in keys])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(lo, 1024) for x in batches for lo in range(0, x.num_rows, 1024)):  # a row comes out for each pivot in reach
-            if b.num_rows:
-                near = np.arccos(np.clip(_lists(b.column(1)) @ pivots[keys].T, -1, 1)) <= radius + theta
-                i, k = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), b.column(2).take(pa.array(i)), pa.array(keys[k].astype(np.int32))], names=["id", "v", "at", "p"])
-
-    reached = homes.select("id", "v", "at").mapInArrow(probe, "id long, v array<double>, at long, p int")
+        for b in parts(batches):
+            near = np.arccos(np.clip(_lists(b.column(1)) @ pivots[keys].T, -1, 1)) <= radius + theta
+            near &= keys <= b.column(3).to_numpy()[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)), pa.array(keys[np.nonzero(near)[1]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["id", "v", "at", "home", "ps"])
+
+    reached = homes.select("id", "v", "at", F.col("p").alias("home")).mapInArrow(probe, f"id long, v {kind}, at long, home int, ps array<int>")
+    reached = written(reached, "reached").select("id", "v", "at", "home", F.explode("ps").alias("p"))
     counts = {r["p"]: r["count"] for r in reached.groupBy("p").count().collect()}
     blocks = homes.sparkSession.createDataFrame([(int(k), -(-counts.get(k, 0) // ROWS), -(-held[k]["n"] // ROWS)) for k in keys], "p int, xs int, ys int")
     blocks = F.broadcast(blocks)  # MOST_PIVOTS rows at most
     own = lambda n: F.pmod(F.xxhash64("at"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probes = reached.join(blocks, "p").select("id", "v", "p", own("xs").alias("x"), every("ys").alias("y"))
+    probes = reached.join(blocks, "p").select("id", "v", "home", "p", own("xs").alias("x"), every("ys").alias("y"))
     members = homes.join(blocks, "p").where("xs > 0").select("id", "v", "p", own("ys").alias("y"), every("xs").alias("x"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             y, ids = _unit(right["v"]), right["id"].to_numpy()
-            for at in range(0, len(left), 1024):
-                part = left.iloc[at : at + 1024]
+            for at in range(0, len(left), 256):
+                part = left.iloc[at : at + 256]
                 d = 1.0 - _unit(part["v"]) @ y.T
                 i, j = np.nonzero(d <= distance)
                 a, b = part["id"].to_numpy()[i], ids[j]
-                keep = a < b
-                out.append(pd.DataFrame({"a": a[keep], "b": b[keep], "distance": d[i, j][keep]}))
+                keep = np.where(part["home"].to_numpy()[i] == part["p"].to_numpy()[i], a < b, a != b)  # vectors of one pivot probe each other, both ways
+                a, b = a[keep], b[keep]
+                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[i, j][keep]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
 
     both = probes.groupBy("p", "x", "y").cogroup(members.groupBy("p", "x", "y")).applyInPandas(compare, "a long, b long, distance double")
@@ -216,11 +223,13 @@ def clusters(df: DataFrame, id_col: str, vec_col: str, cut: float = 0.15) -> Dat
     exactly: components of LOCAL points or fewer in one task each, larger ones by rounds of joins. Vectors without neighbours, zero and null vectors stay alone,
     each by itself; null ids are left out, and a repeated id is as many vectors as it has.
     """
-    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null")
+    kind = "array<float>" if df.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).where("id is not null")
     good = v.where(F.col("v").isNotNull()).where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     points = written(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
-    own = points.select("id", "n", F.transform("v", lambda x: x / norm * F.col("n")).alias("s"))
+    wide = F.col("v").cast("array<double>")
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda t, x: t + x * x))
+    own = points.select("id", "n", F.transform(wide, lambda x: x / norm * F.col("n")).alias("s"))
     done = _linked(own, neighbours(points, "id", "v", cut).select("a", "b", F.col("distance").alias("d")), cut)
     done = points.select("v", F.col("id").alias("point")).join(done.withColumnRenamed("id", "point"), "point").select("v", "cluster")
     return v.join(done, "v", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

@@ -58,6 +58,27 @@ def test_blocks_follow_counts(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) > 1000
 
 
+def test_probes_are_numbers_and_go_one_way(spark, monkeypatch):
+    """Where every pivot is in reach, a vector leaves Python once, in its own type, and meets the vectors of another pivot from one side only."""
+    from pyspark.sql import functions as F
+
+    kept, write = {}, V.written
+    monkeypatch.setattr(V, "written", lambda df, name="table": kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(V, "PIVOTS", 40)
+    rng = np.random.default_rng(6)
+    m = (np.ones((300, 4)) + rng.normal(scale=0.3, size=(300, 4))).astype(np.float32)
+    rows = [*enumerate(m), (7, m[8])]  # one id twice
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, e array<float>")
+    u = V._unit([x for _, x in rows])
+    d = 1 - u @ u.T
+    want = {(i, j) for x, (i, _) in enumerate(rows) for y, (j, _) in enumerate(rows) if i < j and d[x, y] <= 0.2}
+    got = [(r["a"], r["b"]) for r in V.neighbours(df, "vec_id", "e", 0.2).collect()]
+    assert set(got) == want and len(got) == len(want) > 1000
+    reached = kept["reached"]
+    assert reached.count() == 301 and dict(reached.dtypes)["v"] == "array<float>"
+    assert reached.agg(F.sum(F.size("ps"))).first()[0] < 0.7 * 301 * 40
+
+
 def test_search_meets_all_vectors(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -307,7 +307,7 @@ def _dealt(contexts: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame]:
 
     c = F.count("*").over(Window.partitionBy("g", "salt"))
     rows = contexts.select("doc", "p", "x").mapInArrow(deal, _ROWS + ", p0 long").withColumn("c", c).where("salt < 0 or c > 1")
-    rows = written(rows, "dealt")
+    rows = written(rows, "dealt", free=True)
     lists = rows.where("salt = 0").groupBy("doc", "p0").agg(F.collect_list(F.struct("g", "p")).alias("w"))
     hot = contexts.select("doc", F.col("p").alias("p0"), "x").join(lists, ["doc", "p0"]).select("doc", "p0", "x", F.explode("w").alias("w"))
     # a text of another row under the same doc_id may be shorter
@@ -319,11 +319,12 @@ def _dealt(contexts: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame]:
 def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, k: int = K) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     docs = df.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    judged = written(_judged(_rows(docs, min_len, k)), "runs")
-    contexts = written(_contexts(docs, judged.where("kind = 0"), min_len), "contexts")
+    judged = written(_judged(_rows(docs, min_len, k)), "runs", free=True)
+    contexts = written(_contexts(docs, judged.where("kind = 0"), min_len), "contexts", free=True)
     settled, dealt = _dealt(contexts.where("hot"), min_len)
     again = judged.where("kind = 1").select("doc", "p", "n").unionByName(settled)
     again = again.unionByName(_compared(contexts.where("not hot"), min_len)).unionByName(_compared(dealt, min_len))
+    again = written(again, "again", free=True)  # else the bytes of runs lie in shuffle files beside those of the texts
     spans = again.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs")).withColumnRenamed("doc", "_d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 
 from sightline.llm import suffix_dedup as D
+from sightline.sources.shared import CLEANUP
 
 
 def brute(rows, n=100):
@@ -98,3 +100,27 @@ def test_clashing_columns(spark):
     rows = [(1, "x" * 350, 5, 6), (2, "y" * 350, 5, 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, doc long, runs int")
     assert got(df) == brute([r[:2] for r in rows])
+
+
+def test_shuffle_files_go_with_each_table(spark):
+    """What the tables of the steps were shuffled by does not wait on disk for the driver's garbage collector."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {f for f in (every.apply(i).getName() for i in range(every.size())) if f.startswith("shuffle_") and f.endswith(".data")}
+
+    rng = random.Random(5)
+    line = " ".join(str(rng.random()) for _ in range(20))
+    rows = [(i, f"{rng.random()} {line if i % 2 else rng.random()} {rng.random()}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.count()
+    before = files()
+    out = D.remove_repeats(df)
+    for _ in range(50):  # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(CLEANUP, None) is None
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()} == brute(rows)

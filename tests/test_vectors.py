@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from sightline.operators import vectors as V
 
@@ -46,6 +47,78 @@ def test_large_component_by_rounds(spark, monkeypatch):
     assert got == want and 5 < len(set(want.values())) < 600
 
 
+def matrix_clusters(ids, m, cut, n):
+    """Nearest pair first on a whole matrix of distances, for ids that ascend; n: how many vectors each row stands for."""
+    u = V._unit(m)
+    d, n, part = 1 - u @ u.T, np.array(n, float), np.arange(len(ids))
+    np.fill_diagonal(d, np.inf)
+    while d.min() <= cut:
+        i, j = sorted(divmod(int(d.argmin()), len(d)))
+        d[i] = d[:, i] = (n[i] * d[i] + n[j] * d[j]) / (n[i] + n[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        n[i] += n[j]
+        part[part == j] = i
+    return np.asarray(ids)[part]
+
+
+def test_chains_merge_as_the_nearest_pair_would():
+    rng = np.random.default_rng(12)
+    for k, dim, cut, spread in ((300, 6, 0.1, 9.0), (400, 16, 0.5, 1.0), (250, 8, 0.9, 0.01), (300, 3, 0.3, 2.0)):
+        m, n = np.ones(dim) + rng.normal(scale=spread, size=(k, dim)), rng.integers(1, 5, size=k)
+        ids = np.sort(rng.choice(5000, k, replace=False))
+        assert (V.average_linkage(ids, V._unit(m), cut, n) == matrix_clusters(ids, m, cut, n)).all()
+
+
+def test_blocks_find_the_nearest_of_near_copies():
+    """Distances of 1e-10, which single precision can't tell, beside plain ones; in one block and in two, from either side."""
+    rng = np.random.default_rng(13)
+    m = np.concatenate([rng.normal(size=(80, 5)), np.ones((120, 5)) + rng.normal(scale=1e-5, size=(120, 5))])
+    u, ids = V._unit(m), rng.permutation(200)
+    table = lambda at: pa.table({"id": ids[at], "n": np.full(len(at), 2), "s": (2 * u[at]).tolist()})
+    d = 1 - (u[:, None] * u[None]).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for x, y, both in ((np.arange(200), np.arange(200), False), (np.arange(0, 200, 2), np.arange(1, 200, 2), True)):
+        got = V._meeting(table(x), table(y), 0.4, both, (0.5, 1.0)).to_pylist()
+        sides = ((x, y), (y, x))[: 1 + both]
+        want = {int(ids[i]): int(ids[min(q, key=lambda j: (d[i, j], ids[j]))]) for p, q in sides for i in p if d[i, q].min() <= 0.4}
+        assert {r["a"]: r["b"] for r in got if r["level"] < 0} == want and len(want) > 120
+        for level, within in ((0, 0.2), (1, 0.4)):
+            low, edges = {int(i): int(i) for i in ids}, [(int(ids[i]), int(ids[j])) for i in x for j in y if d[i, j] <= within]
+            for _ in range(200):
+                for a, b in edges:
+                    low[a] = low[b] = min(low[a], low[b])
+            stars = {r["b"]: r["a"] for r in got if r["level"] == level}
+            assert {i: stars.get(i, i) for i in low} == low
+
+
+def test_rounds_keep_no_pairs(spark, monkeypatch):
+    """83,000 pairs of 800 vectors are within the cut: no table that is written has them, and clusters are the same."""
+    counts, write = {}, V.written
+
+    def counted(df, name="table", free=False):
+        out = write(df, name, free)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(V, "written", counted)
+    monkeypatch.setattr(V, "LOCAL", 100)
+    monkeypatch.setattr(V, "LEAST", 200, raising=False)
+    m = np.random.default_rng(14).normal(size=(800, 12))
+    u = V._unit(m)
+    assert (np.triu(1 - u @ u.T <= 0.8, 1)).sum() > 100 * 800
+    got = {r["id"]: r["cluster"] for r in V.clusters(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, e array<double>"), "vec_id", "e", 0.8).collect()}
+    assert got == dict(enumerate(matrix_clusters(np.arange(800), m, 0.8, np.ones(800)).tolist()))
+    assert max(counts.values()) < 20 * 800
+
+
+def test_one_id_of_two_vectors(spark):
+    """Each vector of a repeated id is one row, in its own cluster."""
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (4, [-1.0, -1.0])]
+    got = sorted((r["id"], r["cluster"]) for r in V.clusters(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e", 0.1).collect())
+    assert got == [(1, 1), (2, 2), (3, 1), (3, 2), (3, 2), (4, 4)]
+
+
 def test_blocks_follow_counts(spark, monkeypatch):
     monkeypatch.setattr(V, "ROWS", 16)
     monkeypatch.setattr(V, "PIVOTS", 3)
